@@ -215,10 +215,10 @@ CTES = {
              arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS setting_value
       FROM orders GROUP BY 1""",
     "nearest_means": """
-      SELECT label, list(mean ORDER BY at) AS mean FROM (
-        SELECT label, at, avg(CAST(value AS DOUBLE)) AS mean FROM (
-          SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS at
-          FROM embeddings) GROUP BY ALL) GROUP BY label""",
+      SELECT label, list(mean ORDER BY pos) AS mean FROM (
+        SELECT label, pos, avg(CAST(v AS DOUBLE)) AS mean FROM (
+          SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos
+          FROM embeddings) u GROUP BY label, pos) m GROUP BY label""",
 }
 
 
@@ -293,7 +293,7 @@ CTES["outcome"] = f"""
         CASE WHEN r.errors = '' AND missing_fields IS NOT NULL THEN
           CASE WHEN NOT answered THEN 'response:missing' WHEN fill_errors <> '' THEN fill_errors
           END END AS fill_error,
-        {' + '.join(f'CAST({f} IS NOT NULL AS INTEGER)' for f in FIELDS)}
+        {' + '.join(f'CAST(x.{f} IS NOT NULL AS INTEGER)' for f in FIELDS)}
           + CASE WHEN had_fallback THEN 4 ELSE 0 END AS total_fields
       FROM final_requests x JOIN requests r USING (request_id)"""
 
@@ -485,7 +485,7 @@ _BODIES = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 12), id) AS rank
         FROM (SELECT CAST(m.label AS BIGINT) AS query_id, vec_id AS id,
                 list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) AS s
-              FROM embeddings, nearest_means m)) WHERE rank <= 10""",
+              FROM embeddings CROSS JOIN nearest_means m) scored) ranked WHERE rank <= 10""",
     "x3_attach_vectors": """
       SELECT l.id AS lead_id, CAST(64 AS INTEGER) AS dim, e.vec_id IS NULL AS is_zero,
              round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) AS first_value
@@ -662,30 +662,31 @@ _LOG_COLUMNS = ("company_name", "error", "has_gaps", "had_fallback", "total_fiel
 def _log_rows() -> str:
     valid, needs = "valid", "needs"
     filled = "fill_error IS NULL"
+    # (place, step, status, condition, payload columns)
     rows = [
-        ("validate_input", "started", "true", {}),
-        ("validate_input", "success", valid, {"company_name": "asked_name"}),
-        ("validate_input", "failed", f"NOT {valid}", {"error": "errors"}),
-        ("fetch_apis", "started", valid, {}),
-        ("fetch_apis", "success", valid,
+        (0, "validate_input", "started", "true", {}),
+        (1, "validate_input", "success", valid, {"company_name": "asked_name"}),
+        (2, "validate_input", "failed", f"NOT {valid}", {"error": "errors"}),
+        (3, "fetch_apis", "started", valid, {}),
+        (4, "fetch_apis", "success", valid,
          {"sources_queried": shown("api_sources"), "fields_populated": shown("populated")}),
-        ("evaluate_intelligence_gate", "started", valid, {}),
-        ("evaluate_intelligence_gate", "success", f"{valid} AND {needs}",
+        (5, "evaluate_intelligence_gate", "started", valid, {}),
+        (6, "evaluate_intelligence_gate", "success", f"{valid} AND {needs}",
          {"has_gaps": "'true'", "missing_fields": shown("missing_fields")}),
-        ("evaluate_intelligence_gate", "success", f"{valid} AND NOT {needs}", {}),
-        ("spawn_fallback_agent", "started", needs, {}),
-        ("spawn_fallback_agent", "success", f"{needs} AND {filled}",
+        (6, "evaluate_intelligence_gate", "success", f"{valid} AND NOT {needs}", {}),
+        (7, "spawn_fallback_agent", "started", needs, {}),
+        (8, "spawn_fallback_agent", "success", f"{needs} AND {filled}",
          {"fields_filled": "fields_filled"}),
-        ("spawn_fallback_agent", "failed", f"{needs} AND NOT {filled}", {"error": "fill_error"}),
-        ("spawn_fallback_agent", "skipped", f"{valid} AND NOT {needs}",
+        (9, "spawn_fallback_agent", "failed", f"{needs} AND NOT {filled}", {"error": "fill_error"}),
+        (10, "spawn_fallback_agent", "skipped", f"{valid} AND NOT {needs}",
          {"reason": "'No data gaps detected'"}),
-        ("save_final_lineage", "started", f"{valid} AND {filled}", {}),
-        ("save_final_lineage", "success", f"{valid} AND {filled}",
+        (11, "save_final_lineage", "started", f"{valid} AND {filled}", {}),
+        (12, "save_final_lineage", "success", f"{valid} AND {filled}",
          {"had_fallback": "CAST(had_fallback AS VARCHAR)",
           "total_fields": "CAST(total_fields AS VARCHAR)"}),
     ]
     parts = []
-    for place, (step, status, when, shown_columns) in enumerate(rows):
+    for place, step, status, when, shown_columns in rows:
         columns = ", ".join(
             f"CAST({shown_columns.get(c, 'NULL')} AS VARCHAR) AS {c}" for c in _LOG_COLUMNS
         )
@@ -707,7 +708,7 @@ CTES["told"] = """
 CTES["log_rows"] = _log_rows()
 _BODIES["e2_step_logs"] = f"""
       SELECT request_id,
-        CAST(row_number() OVER (PARTITION BY request_id ORDER BY place) - 1 AS INTEGER) AS seq,
+        CAST(place AS INTEGER) AS seq,
         step_name, status, has_payload, error AS traceback, {', '.join(_LOG_COLUMNS)}
       FROM log_rows"""
 

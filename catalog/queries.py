@@ -14,7 +14,7 @@ from firmweave import schemas as S
 from firmweave.functions.display import percent
 from firmweave.operators import audit, keyed, merging, providers, records, search, validation
 from firmweave.plans import completion
-from firmweave.session import scratch_dir
+from firmweave.session import materialize, scratch_dir
 from firmweave.sources import payloads as payload_source, sinks
 from firmweave.streaming import requests as stream_requests, status as stream_status
 
@@ -385,7 +385,7 @@ def g2_gap_verdict(spark, sf):
 
 @query
 def g3_branch(spark, sf):
-    needs, complete = merging.split_by_gaps(_gapped(spark, sf))
+    needs, complete = merging.split_by_gaps(materialize(_gapped(spark, sf)))
     return needs.select(
         "request_id", F.lit("fill").alias("branch"), F.lit(None).cast("string").alias("reason")
     ).unionByName(
@@ -395,7 +395,7 @@ def g3_branch(spark, sf):
 
 @query
 def f1_prompts(spark, sf):
-    needs, _ = merging.split_by_gaps(_gapped(spark, sf))
+    needs, _ = merging.split_by_gaps(materialize(_gapped(spark, sf)))
     text = F.col("prompt")
     return merging.prompts(needs).select(
         "request_id",
@@ -408,7 +408,7 @@ def f1_prompts(spark, sf):
 
 @query
 def f2_fill_responses(spark, sf):
-    needs, _ = merging.split_by_gaps(_gapped(spark, sf))
+    needs, _ = merging.split_by_gaps(materialize(_gapped(spark, sf)))
     return merging.attach_responses(needs, V.responses(spark, sf)).select(
         "request_id", "fill_error", F.col("extraction").isNotNull().alias("usable")
     )
@@ -536,7 +536,8 @@ def x3_attach_vectors(spark, sf):
 @query
 def x4_embedding_never_fails(spark, sf):
     """Every completed lead keeps its row whether or not a vector exists."""
-    leads = completion.leads_of(trace(spark, sf), now=now()).filter("status = 'completed'")
+    stored = materialize(trace(spark, sf), "trace")
+    leads = completion.leads_of(stored, now=now()).filter("status = 'completed'")
     with_text = search.content_summary(leads.select(F.col("id").alias("lead_id"), "enriched_data.*"))
     attached = search.attach_vectors(
         with_text.select("lead_id", "content_summary"), V.embeddings(spark, sf).select("lead_id", "embedding"), dim=64
@@ -759,7 +760,8 @@ def c4_delete_keys(spark, sf):
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table as a file stream; its timestamps become instants."""
     schema = V.table(spark, sf, name).schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    # a pattern: the stream source refuses the bare path of a single file
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
     return raw.withColumns(
         {
             f.name: F.col(f.name).cast("timestamp")
