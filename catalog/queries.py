@@ -242,7 +242,7 @@ def v6_illegal_values(spark, sf):
 def _provider_input(spark, sf, role):
     """A provider's payloads beside the request they were fetched for."""
     leads = V.leads(spark, sf).select("request_id", "company_name", "company_domain")
-    return V.payloads(spark, sf)[role].join(leads, "request_id")
+    return keyed.co_locate(V.payloads(spark, sf)[role]).join(leads, "request_id")
 
 
 @query
@@ -329,7 +329,7 @@ def _merged(spark, sf) -> DataFrame:
     leads = V.leads(spark, sf).select("request_id", "company_name", "company_domain")
     landed = V.payloads(spark, sf)
     wide = {
-        role: providers.normalize(df.join(leads, "request_id"), role)
+        role: providers.normalize(keyed.co_locate(df).join(leads, "request_id"), role)
         for role, df in landed.items()
     }
     return merging.merge_providers(

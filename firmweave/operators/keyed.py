@@ -12,6 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
+def co_locate(df: DataFrame, key: str = "request_id") -> DataFrame:
+    """Shuffle by the key now, so that parsing and joining happen after it.
+
+    The joins that follow use the same key and add no shuffle of their own.
+    Not for inputs that are bucketed by the key already.
+    """
+    return df.repartition(key)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the one greatest in ``order``.
 

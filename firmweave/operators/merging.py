@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from firmweave import schemas as S
 from firmweave.functions import variants as V
+from firmweave.functions.once import with_once
 from firmweave.functions.truth import falsy, names_where
 from firmweave.operators.providers import PROVIDER_FIELDS, result_columns
 from firmweave.operators.validation import check_extractions, gap_list
@@ -73,9 +74,8 @@ def fields_populated(record: Column, fields: list[str] | None = None) -> Column:
 
 def merge_results(df: DataFrame) -> DataFrame:
     """M1-M4 on rows holding all four providers' prefixed columns."""
-    merged = df.withColumns(
+    merged = with_once(df, api=merged_record(F.col("company_name"))).withColumns(
         {
-            "api": merged_record(F.col("company_name")),
             "api_sources": sources_queried(),
             "api_errors": source_errors(),
             "type_issues": F.coalesce("profile_issues", F.array().cast(S.ISSUES_DDL)),
@@ -249,7 +249,7 @@ def filled_record(api: Column, fill: Column, api_sources: Column) -> Column:
 def fill_gaps(df: DataFrame) -> DataFrame:
     """F4 + F5 on rows with ``api``, ``extraction`` and ``api_sources``."""
     record = filled_record(F.col("api"), F.col("extraction"), F.col("api_sources"))
-    return df.withColumn("record", record).withColumns(
+    return with_once(df, record=record).withColumns(
         {
             "total_fields": total_fields(F.col("record")),
             "had_fallback": F.col("record.had_fallback"),

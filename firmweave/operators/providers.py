@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmweave import schemas as S
 from firmweave.functions import variants as V
+from firmweave.functions.once import with_once
 
 PROVIDER_FIELDS = {
     "profile": [
@@ -173,8 +174,8 @@ def with_provider(df: DataFrame, provider: str, prefix: str = "") -> DataFrame:
     )
     state = provider_state(provider, F.col(f"{prefix}configured"), F.col("company_domain"))
     called = F.col(f"{prefix}_called") == "called"
-    df = df.withColumns({f"{prefix}_doc": V.parse(body), f"{prefix}_called": state})
-    df = df.withColumn(f"{prefix}_failure", F.when(called, failure))
+    df = with_once(df.withColumn(f"{prefix}_called", state), **{f"{prefix}_doc": V.parse(body)})
+    df = with_once(df, **{f"{prefix}_failure": F.when(called, failure)})
     good = called & F.col(f"{prefix}_failure").isNull()
     added = {
         f"{prefix}state": F.when(~called, "skipped")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from firmweave import schemas as S
 from firmweave.functions import variants as V
+from firmweave.functions.once import with_once
 
 
 def gather_errors(*codes: Column) -> Column:
@@ -39,7 +40,7 @@ def check_requests(df: DataFrame, raw: str = "raw_input") -> DataFrame:
     name, domain, context = F.col("_name"), F.col("_domain"), F.col("_context")
     name_text, domain_text = V.raw_text(doc, "$.company_name"), V.raw_text(doc, "$.company_domain")
     context_value = V.at(doc, "$.additional_context")
-    parsed = df.withColumn("_doc", V.parse(F.col(raw))).withColumns(
+    parsed = with_once(df, _doc=V.parse(F.col(raw))).withColumns(
         {
             "_name": V.kind(V.at(doc, "$.company_name")),
             "_domain": V.kind(V.at(doc, "$.company_domain")),
@@ -102,12 +103,10 @@ def check_extractions(df: DataFrame, content: str = "content") -> DataFrame:
     One violation rejects the whole response, whose struct is then NULL.
     """
     doc = F.col("_doc")
-    typed = df.withColumn("_doc", V.parse(F.col(content))).withColumn(
-        "_typed",
-        F.struct(
-            *[_extraction_field(doc, f, ddl).alias(f) for f, ddl in S.EXTRACTION_TYPES.items()]
-        ),
+    fields = F.struct(
+        *[_extraction_field(doc, f, ddl).alias(f) for f, ddl in S.EXTRACTION_TYPES.items()]
     )
+    typed = with_once(with_once(df, _doc=V.parse(F.col(content))), _typed=fields)
     codes = []
     for field in S.EXTRACTION_TYPES:
         wrong = F.col(f"_typed.{field}").isNull()

@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # parsing JSON costs far more than its bytes suggest: coalesce to small
+    # partitions only (partitions of real size are far above this anyway)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # AQE splits hot shuffle partitions of the remaining sort-merge joins
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # state that outgrows the heap of one executor must spill to disk
