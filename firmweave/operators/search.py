@@ -253,12 +253,12 @@ def _blocked(
         F.col("query_id"),
         F.col("embedding"),
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(e_blocks - 1))).cast("bigint").alias("eb"),
+        F.explode(F.expr(f"sequence(0L, {e_blocks - 1}L)")).alias("eb"),
     )
     right = embeddings.select(
         F.col("id"),
         F.col("embedding"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")).alias("qb"),
         F.pmod(F.xxhash64("id"), F.lit(e_blocks)).alias("eb"),
     )
 
