@@ -1,6 +1,6 @@
 """Lead queries and keyed updates.
 
-The reference times tie often, so every ordering ends in the request id.
+Creation times tie often, so every ordering ends in the request id.
 """
 
 from __future__ import annotations
