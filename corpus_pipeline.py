@@ -1,10 +1,63 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: documents in, a clean and weighted training mixture out.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
+Parquet and read again as the next stage's ``docs``.  All but the last return the
+columns of ``docs``; the last returns them too, each row as often as it is taken.
+
+Defined cases are those of the operators.  Rows without a doc_id or text pass all
+stages but those whose rule rejects them (an empty text has the score of the
+classifier's bias); extra columns pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from firmweave.llm import decontamination, jaccard, mixing, quality, secrets
+from firmweave.llm.tables import materialize, read
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_sources),
+]
+
+#: trained models decide in two stages, which SQL cannot express
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for place, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = materialize(docs, "pipeline")
+    return docs

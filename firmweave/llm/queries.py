@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmweave.llm import jaccard, mixing, warc
+from firmweave.llm import compression, jaccard, mixing, quality, secrets, token_counts, toxicity, warc
 from firmweave.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,35 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
+@query
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op8_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(read(spark, sf_dir, "pages"))

@@ -56,13 +56,14 @@ class Words:
 
     ``number``: one 64-bit number a word, in reading order over all texts;
     ``start``/``end``: byte places in ``buffer``; ``first``: for text ``i`` the
-    words ``first[i]`` to ``first[i + 1]`` are its own.
+    words ``first[i]`` to ``first[i + 1]`` are its own.  ``fold`` makes A-Z equal a-z;
+    ``space`` marks the bytes between words.
     """
 
-    def __init__(self, texts: list[bytes], fold: bool = False):
+    def __init__(self, texts: list[bytes], fold: bool = False, space: np.ndarray = SPACE):
         raw = b"\n".join(texts) + b"\n"
         self.buffer = np.frombuffer(raw, dtype=np.uint8)
-        inside = ~SPACE[self.buffer]
+        inside = ~space[self.buffer]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edge = np.concatenate([[0], edge])
