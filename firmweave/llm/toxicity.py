@@ -6,11 +6,12 @@ the document's is one minus the product of the sentences' chances of being clean
 Only document labels are seen in training: the gradient reaches each sentence by
 its share in the document's chance, so weights settle on the words that tell
 labelled documents apart, and the same weights then locate offending sentences.
-Weights are kept sparse by an L1 term, and words of fewer than ``LEAST_DOCS``
+Weights are kept sparse by an L1 term, and features of fewer than ``LEAST_DOCS``
 sampled documents have none.
 
-Words are runs of letters and digits, A-Z lower-cased, and are held as hashed
-numbers.  The model is fit on at most ``EACH`` labelled documents per class
+Words are runs of letters and digits, A-Z lower-cased.  The features of a word are
+itself and its beginnings of ``STEMS`` bytes, which stand in for its stem, so that
+unseen endings still count; all are held as hashed numbers.  The model is fit on at most ``EACH`` labelled documents per class
 outside the held-out fold, in hash order from all labels; scoring covers every
 whole text.
 
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from firmweave.llm.training import collect_features, fold_of, sampled_ids
-from firmweave.llm.wordhash import U, Words, chunks
+from firmweave.llm.wordhash import U, Words, chunks, mix
 
 FOLDS, HELD_OUT = 5, 0
 EACH = 4000
 BITS = 20
+STEMS = (4, 5)
 LEAST_DOCS = 4
 SPARSE = 2e-4
 STEPS = 250
@@ -47,18 +49,20 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 
 
 def sentences(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
-    """For each text: word numbers, sentence of each word, byte place of each word, the text."""
+    """For each text: features, the sentence and byte place of each, and the text."""
     for _, run in chunks(texts):
         words = Words(run, fold=True, space=_LETTERS)
         sentence = np.cumsum(_CUT[words.buffer])[words.start] if len(words.start) else np.zeros(0, int)
-        number = (words.number >> U(64 - BITS)).astype(np.int64)
+        kinds = [words.number, *(mix(words.prefix(k) + U(k)) for k in STEMS)]
+        number = np.stack([(n >> U(64 - BITS)).astype(np.int64) for n in kinds], axis=1).ravel()
+        sentence, start = np.repeat(sentence, len(kinds)), np.repeat(words.start, len(kinds))
         for i, raw in enumerate(run):
-            own = slice(int(words.first[i]), int(words.first[i + 1]))
-            yield number[own], sentence[own], words.start[own] - words.offset[i], raw
+            own = slice(int(words.first[i]) * len(kinds), int(words.first[i + 1]) * len(kinds))
+            yield number[own], sentence[own], start[own] - words.offset[i], raw
 
 
 def features(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Word numbers of each text, the first of each sentence marked by a minus sign."""
+    """Features of each text, the first of each sentence marked by a minus sign."""
     for number, sentence, _, _ in sentences(texts):
         first = np.ones(len(sentence), bool)
         first[1:] = sentence[1:] != sentence[:-1]

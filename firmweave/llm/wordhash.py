@@ -68,15 +68,25 @@ class Words:
         if inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        up, down = _powers(len(raw))
+        up, self._down = _powers(len(raw))
         with np.errstate(over="ignore"):
-            total = np.cumsum((_FOLDED if fold else _BYTES)[self.buffer] * up)
-            before = np.where(self.start > 0, total[self.start - 1], U(0)) if len(self.start) else np.zeros(0, U)
-            self.number = mix((total[self.end - 1] - before) * down[self.start])
+            self._total = np.cumsum((_FOLDED if fold else _BYTES)[self.buffer] * up)
+        self.number = self._numbers(self.end)
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.start, self.offset)
 
+    def _numbers(self, end: np.ndarray) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(0, U)
+        with np.errstate(over="ignore"):
+            before = np.where(self.start > 0, self._total[self.start - 1], U(0))
+            return mix((self._total[end - 1] - before) * self._down[self.start])
+
+    def prefix(self, size: int) -> np.ndarray:
+        """The numbers of the words' first ``size`` bytes; all of a shorter word."""
+        return self._numbers(np.minimum(self.end, self.start + size))
+
 
 def chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in UTF-8 with the place of the first, in runs of about ``size`` bytes.
