@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from firmweave.functions.once import with_once
 from firmweave.llm.tables import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,16 +100,16 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, diagonal) of every pair that shares a seed."""
     seeds = materialize(item_seeds(benchmark), "seeds")
     table = materialize(bit_table(seeds), "seed-bits")
-    hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        "doc_id", hashes_of(F.col("text").cast("string")).alias("w"), table.scalar().alias("bits")
-    )
+    # evaluated once a row: the optimizer would copy them into each use, down to
+    # the lambdas that run for each position
+    hashed = with_once(
+        docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), w=hashes_of(F.col("text").cast("string"))
+    ).select("doc_id", "w", table.scalar().alias("bits"))
     w, bits = F.col("w"), F.col("bits")
-    places = hashed.where(F.size(w) > 1).select(
-        "doc_id", "w", "bits",
-        F.filter(
-            F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at))
-        ).alias("places"),
-    )
+    places = with_once(
+        hashed.where(F.size(w) > 1),
+        places=F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at))),
+    ).select("doc_id", "w", "bits", "places")
     met = F.flatten(F.transform(
         "places",
         lambda at: F.filter(
@@ -150,14 +151,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE) ->
     )
     found = materialize(candidates(plain, items), "seed-candidates")
     again = found.withColumnRenamed("doc_id", "found_id")
-    aligned = (
-        plain.join(again, F.col("doc_id") == F.col("found_id"))
-        .select("doc_id", "item_id", "n_words", "diagonal", hashes_of(F.col("text")).alias("w"))
-        .select(
-            "doc_id", "item_id", "diagonal",
-            F.slice("w", F.greatest(F.col("diagonal"), F.lit(0)) + 1,
-                    F.col("n_words") + F.least(F.col("diagonal"), F.lit(0))).alias("own"),
-        )
+    aligned = with_once(
+        plain.join(again, F.col("doc_id") == F.col("found_id")), w=hashes_of(F.col("text"))
+    ).select(
+        "doc_id", "item_id", "diagonal",
+        F.slice("w", F.greatest(F.col("diagonal"), F.lit(0)) + 1,
+                F.col("n_words") + F.least(F.col("diagonal"), F.lit(0))).alias("own"),
     )
     words = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").alias("words_id"), hashes_of(F.col("text")).alias("item_words")

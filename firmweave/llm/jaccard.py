@@ -11,10 +11,12 @@ More exactly: if a set gives segment i the threshold v[i] in {-1, 0, 1} and the
 sum of (v[i] + 1) exceeds the largest possible difference, each partner differs
 from it by at most v[i] in some segment i.  Threshold 0 is met by the hash of the
 segment's subset, threshold 1 by subsets with one element deleted on one of the
-sides, -1 costs nothing.  Subsets of few elements meet many strangers; each set
-spends its thresholds where the expected number of rows met (``MEETS``) is least,
-so empty segments are left out and made up for by a deletion neighbourhood
-elsewhere.  Residents of a band index all their segments, and deletions in the
+sides, -1 costs nothing.  Subsets without rare elements meet many strangers; each
+set spends its thresholds where the expected number of rows met (``MEETS``, by rare
+elements) is least, so segments that are empty or hold nothing but a passage that
+many documents share are left out and made up for by a deletion neighbourhood
+elsewhere.  Which shingles are frequent is counted over all documents; the table
+of the ``FREQUENT`` most frequent guides costs only, never what is found.  Residents of a band index all their segments, and deletions in the
 first few; sets of the band below whose partners may be larger only probe.
 
 Candidates.  Rows with an equal key form a bucket.  First each row meets the
@@ -51,8 +53,12 @@ from firmweave.llm.wordhash import U, Words, chunks, constants, mix, windows
 
 WIDTH = 5
 PERCENT = 80
-#: rows a probe meets in a segment of 0, 1, 2, ... elements, relative to a large one
-MEETS = (1_000_000, 64, 8, 1)
+#: rows a probe meets in a segment of 0, 1, 2, ... rare elements, relative to many
+MEETS = (1_000_000, 16, 4, 1)
+#: size of the table of frequent shingles, and the documents that make one frequent
+FREQUENT, OFTEN = 65_536, 40
+#: shingles counted together in a task, and how many of these counts it forwards
+COUNTED, FORWARDED = 2_000_000, 4096
 #: classes a task remembers so as not to emit a copy's keys again
 REMEMBERED = 200_000
 #: members verified together with one copy of their centre's text
@@ -119,17 +125,22 @@ def _scheme(band: int, percent: int) -> tuple[int, int]:
     return segments, min(segments, 4 + segments // 32)
 
 
-def allot(counts: np.ndarray, need: int, deletable: int) -> np.ndarray:
-    """Thresholds v with sum(v + 1) >= need and the least expected rows met."""
+def allot(counts: np.ndarray, rare: np.ndarray, need: int, deletable: int) -> np.ndarray:
+    """Thresholds v with sum(v + 1) >= need and the least expected rows met.
+
+    ``counts`` and ``rare``: elements and rare elements of each segment.
+    """
     v = np.zeros(len(counts), dtype=np.int8)
-    meets = np.array(MEETS)[np.minimum(counts, len(MEETS) - 1)]
-    worst = np.argsort(counts, kind="stable")
+    cost = np.array(MEETS)
+    last = len(MEETS) - 1
+    meets = cost[np.minimum(rare, last)]
+    worst = np.argsort(rare, kind="stable")
     spare = len(counts) - need
     v[worst[:spare]] = -1
-    raised = (counts[:deletable] + 1) * np.array(MEETS)[np.clip(counts[:deletable] - 1, 0, len(MEETS) - 1)]
+    raised = (counts[:deletable] + 1) * cost[np.clip(rare[:deletable] - 1, 0, last)]
     best = [i for i in np.argsort(raised, kind="stable") if v[i] == 0]
     for i in worst[spare:]:
-        if counts[i] >= len(MEETS) - 1:
+        if rare[i] >= last:
             break
         if v[i] != 0:
             continue
@@ -142,7 +153,7 @@ def allot(counts: np.ndarray, need: int, deletable: int) -> np.ndarray:
 
 
 def _band_keys(
-    shingles: np.ndarray, band: int, partner: int, resident: bool, percent: int
+    shingles: np.ndarray, rare: np.ndarray, band: int, partner: int, resident: bool, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Keys and probe marks of one set in one band."""
     segments, deletable = _scheme(band, percent)
@@ -158,7 +169,8 @@ def _band_keys(
         held = np.flatnonzero(counts)
         sums[held] = np.add.reduceat(value, (np.cumsum(counts) - counts)[held])
         tag = mix(np.arange(segments, dtype=np.int64).astype(U) + salt[2])
-        v = allot(counts, most_apart(len(shingles), partner, percent) + 1, deletable)
+        rares = np.bincount(place, weights=rare[order], minlength=segments).astype(np.int64)
+        v = allot(counts, rares, most_apart(len(shingles), partner, percent) + 1, deletable)
         whole = np.flatnonzero(v >= 0) if not resident else np.arange(segments)
         keys, probes = mix(sums[whole] ^ tag[whole]), v[whole] >= 0
         cut = (place < deletable) if resident else (v[place] == 1)
@@ -169,8 +181,14 @@ def _band_keys(
     return keys, probes
 
 
-def keys_of(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a set and which of them probe."""
+def keys_of(
+    shingles: np.ndarray, percent: int = PERCENT, frequent: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a set and which of them probe; ``frequent``: sorted shingles."""
+    rare = np.ones(len(shingles), bool)
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rare = frequent[at] != shingles
     size = len(shingles)
     if not size:
         return np.zeros(0, U), np.zeros(0, bool)
@@ -181,7 +199,7 @@ def keys_of(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, n
     while starts[band] <= largest:
         resident = starts[band] <= size
         partner = min(starts[band + 1] - 1, largest)
-        found.append(_band_keys(shingles, band, partner, resident, percent))
+        found.append(_band_keys(shingles, rare, band, partner, resident, percent))
         band += 1
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -192,14 +210,27 @@ _META = "doc_id long, n_shingles int, c0 long, c1 long, k0 long, k1 long, k2 lon
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
+    """A row per document, and rows of counted shingles (n_shingles -1, c0, count c1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            rows = []
+            rows, counted, held, waiting = [], [], [], 0
             for s in shingle_sets(batch.column(1).to_pylist(), width):
-                rows.append((len(s), *class_of(s), *sketch_of(s).tolist()))
+                name = class_of(s)
+                rows.append((len(s), *name, *sketch_of(s).tolist()))
+                if not seen.add(name):
+                    held.append(s)
+                    waiting += len(s)
+                if waiting >= COUNTED:
+                    counted += _counted(held)
+                    held, waiting = [], 0
+            counted += _counted(held)
+            ids = batch.column(0).to_pylist() + [None] * len(counted)
+            rows += [(-1, int(c), int(n), 0, 0, 0, 0) for c, n in counted]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int32())]
+                [pa.array(ids, pa.int64()), pa.array(columns[0], pa.int32())]
                 + [pa.array(c, pa.int64()) for c in columns[1:]],
                 names=["doc_id", "n_shingles", "c0", "c1", "k0", "k1", "k2", "k3"],
             )
@@ -207,22 +238,54 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _META)
 
 
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+class _Seen:
+    """The last classes a task has read."""
+
+    def __init__(self) -> None:
+        self.names: OrderedDict[tuple[int, int], None] = OrderedDict()
+
+    def add(self, name: tuple[int, int]) -> bool:
+        """Remember ``name``; whether it was known."""
+        known = name in self.names
+        self.names[name] = None
+        if len(self.names) > REMEMBERED:
+            self.names.popitem(last=False)
+        return known
+
+
+def _counted(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The most frequent shingles of some sets and their numbers of sets."""
+    if not sets:
+        return []
+    shingle, n = np.unique(np.concatenate(sets), return_counts=True)
+    often = np.flatnonzero(n >= 3)
+    often = often[np.argsort(-n[often], kind="stable")][:FORWARDED]
+    return list(zip(shingle[often].view(np.int64).tolist(), n[often].tolist(), strict=True))
+
+
+def _frequent(meta: DataFrame) -> np.ndarray:
+    """The sorted table of frequent shingles, of a fixed size at most."""
+    top = (
+        meta.where("n_shingles = -1").groupBy("c0").agg(F.sum("c1").alias("n"))
+        .where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "c0").limit(FREQUENT)
+    )
+    return np.sort(np.array([r.c0 for r in top.select("c0").collect()], np.int64).view(U))
+
+
+def _signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
     """(key, doc, probe): one row per key of the documents a task has no copy of yet."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[tuple[int, int], None] = OrderedDict()
+        seen = _Seen()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             rows = 0
             for doc, s in zip(ids, shingle_sets(batch.column(1).to_pylist(), width), strict=True):
-                if doc is None or not len(s) or (c := class_of(s)) in known:
+                if doc is None or not len(s) or seen.add(class_of(s)):
                     continue
-                known[c] = None
-                if len(known) > REMEMBERED:
-                    known.popitem(last=False)
-                keys, probes = keys_of(s, percent)
+                keys, probes = keys_of(s, percent, table.value)
                 held.append((keys.view(np.int64), np.full(len(keys), doc, np.int64), probes))
                 rows += len(keys)
                 if rows >= 1 << 18:
@@ -309,7 +372,8 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    meta = materialize(_describe(texts, width), "jaccard-sets")
+    described = materialize(_describe(texts, width), "jaccard-sets")
+    meta = described.where("n_shingles >= 0")
     known = meta.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(
@@ -322,7 +386,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     # each row of a bucket meets the bucket's first probing row
     first = Window.partitionBy("key").orderBy(F.desc("probe"), "doc")
-    bucket = _signatures(texts, width, percent).select(
+    bucket = _signatures(texts, _frequent(described), width, percent).select(
         "key", "doc", "probe",
         F.first("doc").over(first).alias("centre"), F.first("probe").over(first).alias("met"),
     )

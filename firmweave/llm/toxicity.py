@@ -32,12 +32,12 @@ from firmweave.llm.training import collect_features, fold_of, sampled_ids
 from firmweave.llm.wordhash import U, Words, chunks, mix
 
 FOLDS, HELD_OUT = 5, 0
-EACH = 4000
+EACH = 1500
 BITS = 20
 STEMS = (4, 5)
 LEAST_DOCS = 4
 SPARSE = 2e-4
-STEPS = 250
+STEPS = 150
 RATE = 0.3
 BIAS = -8.0
 
@@ -90,29 +90,31 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if len(np.unique(y)) < 2:
         sign = 0 if not len(y) else (1 if y[0] else -1)
         return Model(np.zeros(size), {0: -0.0, 1: 50.0, -1: -50.0}[sign])
-    held = [i for i, r in enumerate(rows) if len(r)]
-    flat = np.concatenate([rows[i] for i in held])
-    label = y[held].astype(float)
-    begins = flat < 0
-    word = np.where(begins, -flat - 1, flat)
-    doc = np.repeat(np.arange(len(held)), [len(rows[i]) for i in held])
-    # columns: words of enough documents; the others share one place without a weight
-    met = np.unique(doc * np.int64(size) + word) % size
-    often = np.flatnonzero(np.bincount(met, minlength=size) >= LEAST_DOCS)
-    place = np.full(size, len(often))
-    place[often] = np.arange(len(often))
-    column = place[word]
-    first = np.flatnonzero(begins)
-    doc_of = doc[first]
-    doc_first = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
-    sentence = np.cumsum(begins) - 1
+    held = [r for r in rows if len(r)]
+    label = y[[len(r) > 0 for r in rows]].astype(float)
+    seen = np.zeros(size, np.int32)
+    for row in held:
+        seen[np.unique(np.where(row < 0, -row - 1, row))] += 1
+    often = np.flatnonzero(seen >= LEAST_DOCS)
+    place = np.full(size, -1, np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
+    # features of enough documents: their column and their sentence, numbered over all rows
+    column, sentence, doc_of, begun = [], [], [], 0
+    for k, row in enumerate(held):
+        own = place[np.where(row < 0, -row - 1, row)]
+        at = np.cumsum(row < 0, dtype=np.int32) - 1 + begun
+        column.append(own[own >= 0])
+        sentence.append(at[own >= 0])
+        doc_of.append(np.full(int(at[-1]) + 1 - begun, k, np.int32))
+        begun = int(at[-1]) + 1
+    column, sentence, doc_of = (np.concatenate(x) for x in (column, sentence, doc_of))
     importance = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
     importance /= len(label)
-    weight, bias = np.zeros(len(often) + 1), BIAS
-    speed, bias_speed = np.full(len(often) + 1, 1e-8), 1e-8
+    weight, bias = np.zeros(len(often)), BIAS
+    speed, bias_speed = np.full(len(often), 1e-8), 1e-8
     for _ in range(STEPS):
-        logit = np.add.reduceat(weight[column], first) + bias
-        whole = np.add.reduceat(np.logaddexp(0, logit), doc_first)
+        logit = np.bincount(sentence, weights=weight[column], minlength=begun) + bias
+        whole = np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(held))
         slope = np.where(label == 1, -1 / np.expm1(np.clip(whole, 1e-6, 50)), 1.0)
         each = (importance * np.clip(slope, -50, 50))[doc_of] / (1 + np.exp(-np.clip(logit, -50, 50)))
         gradient = np.bincount(column, weights=each[sentence], minlength=len(weight))
@@ -120,12 +122,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         step = RATE / np.sqrt(speed)
         weight -= step * gradient
         weight = np.sign(weight) * np.maximum(np.abs(weight) - step * SPARSE, 0)
-        weight[-1] = 0
         total = each.sum()
         bias_speed += total**2
         bias -= RATE * total / np.sqrt(bias_speed)
     full = np.zeros(size)
-    full[often] = weight[:-1]
+    full[often] = weight
     return Model(full, bias)
 
 
