@@ -8,7 +8,7 @@ lower-cased.
 1. The seeds of all benchmark windows and masks, and the pairs of adjacent words
    that every mask begins with, set bits of one fixed-size bit table.
 2. In each document row, positions whose word pair and then whose seed are in the
-   bit table remain; only these leave the row, as (doc_id, place, seed).
+   bit table (a constant of 128 KB) remain; only these leave the row, as (doc_id, place, seed).
 3. They are joined with the benchmark's seeds, and reduced map-side to one row per
    document, item and diagonal (place in the document minus place in the item).
 4. The documents so found are read again, and each diagonal is verified on the
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from firmweave.functions.once import with_once
 from firmweave.llm.tables import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MASKS = ("1101101011", "11100110011", "110010111")
 BITS = 20
 LEAST_SCORE = 10
@@ -40,7 +40,7 @@ MISS = 2
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
 def hashes_of(text: Column) -> Column:
@@ -81,35 +81,33 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def bit_table(seeds: DataFrame) -> DataFrame:
-    """One row, one column: 2**BITS bits as an array of 64-bit numbers."""
-    last = (1 << (BITS - 6)) - 1
+def bit_table(seeds: DataFrame) -> Column:
+    """2**BITS bits as a constant array of 64-bit numbers: 128 KB, whatever the benchmark."""
     bits = seeds.select(F.explode(F.array("pair", "seed")).alias("h")).select(
         F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).alias("h")
     )
-    parts = bits.groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(
+    words = [0] * (1 << (BITS - 6))
+    for part in bits.groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(
         F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("word")
-    )
-    zeros = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.lit(0).cast("long"))
-    listed = parts.agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("m"))
-    filled = F.transform(zeros, lambda _, i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
-    return listed.select(filled.alias("bits"))
+    ).collect():
+        words[part.i] = part.word
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, diagonal) of every pair that shares a seed."""
     seeds = materialize(item_seeds(benchmark), "seeds")
-    table = materialize(bit_table(seeds), "seed-bits")
+    bits = bit_table(seeds)
     # evaluated once a row: the optimizer would copy them into each use, down to
     # the lambdas that run for each position
+    w = F.col("w")
     hashed = with_once(
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), w=hashes_of(F.col("text").cast("string"))
-    ).select("doc_id", "w", table.scalar().alias("bits"))
-    w, bits = F.col("w"), F.col("bits")
+    ).select("doc_id", "w")
     places = with_once(
         hashed.where(F.size(w) > 1),
         places=F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at))),
-    ).select("doc_id", "w", "bits", "places")
+    ).select("doc_id", "w", "places")
     met = F.flatten(F.transform(
         "places",
         lambda at: F.filter(

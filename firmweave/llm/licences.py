@@ -25,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEPARATOR = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{SEPARATOR}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE_PHRASES = (
@@ -180,11 +179,12 @@ def detections(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text")
     )
-    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    between = f"[{SEPARATOR}]+"
+    words = F.array_remove(F.split(F.translate("text", UPPER, LOWER), between), "")
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     counted = texts.select(
         "row", "doc_id",
-        F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
+        F.size(F.array_remove(F.split("text", between), "")).cast("long").alias("n_words"),
         F.when(_gate(F.col("text")), joined).alias("joined"),
     )
     joined = F.col("joined")

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmweave.llm import compression, jaccard, mixing, quality, secrets, token_counts, toxicity, warc
+from firmweave.llm import (
+    compression,
+    decontamination,
+    jaccard,
+    licences,
+    mixing,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    warc,
+)
 from firmweave.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +33,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality_rules(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
