@@ -22,7 +22,7 @@ first few; sets of the band below whose partners may be larger only probe.
 Candidates.  Rows with an equal key form a bucket.  First each row meets the
 bucket's first probing row only, so a bucket of k near copies costs k pairs, not
 k * k.  Then, in buckets that still hold several components, rows of different
-components meet, unless sizes or a 256-bit parity sketch prove that they cannot
+components meet, unless sizes or a parity sketch of 1024 bits prove that they cannot
 link (each differing shingle flips one bit, so the sketches' distance never
 exceeds the true difference).  All survivors are verified on their whole texts.
 No link between different sets is lost: pairs left out are in one component
@@ -61,6 +61,8 @@ FREQUENT, OFTEN = 65_536, 40
 COUNTED, FORWARDED = 2_000_000, 4096
 #: classes a task remembers so as not to emit a copy's keys again
 REMEMBERED = 200_000
+#: 64-bit numbers of a set's parity sketch
+SKETCH = 16
 #: members verified together with one copy of their centre's text
 MEMBERS = 256
 SEED = 10
@@ -97,8 +99,9 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Parities of 256 bins as four 64-bit numbers."""
-    bins = np.bincount((mix(shingles ^ constants(1, SEED + 30)) >> U(56)).astype(np.int64), minlength=256) & 1
+    """Parities of 64 * ``SKETCH`` bins as 64-bit numbers."""
+    at = (mix(shingles ^ constants(1, SEED + 30)) >> U(32)) * U(64 * SKETCH) >> U(32)
+    bins = np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(bins.astype(np.uint8)).view(np.int64)
 
 
@@ -206,7 +209,9 @@ def keys_of(
 
 # -- jobs ---------------------------------------------------------------------
 
-_META = "doc_id long, n_shingles int, c0 long, c1 long, k0 long, k1 long, k2 long, k3 long"
+_PARITIES = [f"k{i}" for i in range(SKETCH)]
+_NAMES = ["doc_id", "n_shingles", "c0", "c1", *_PARITIES]
+_META = "doc_id long, n_shingles int, " + ", ".join(f"{c} long" for c in _NAMES[2:])
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
@@ -227,12 +232,12 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                     held, waiting = [], 0
             counted += _counted(held)
             ids = batch.column(0).to_pylist() + [None] * len(counted)
-            rows += [(-1, int(c), int(n), 0, 0, 0, 0) for c, n in counted]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            rows += [(-1, c, n, *[0] * SKETCH) for c, n in counted]
+            columns = list(zip(*rows, strict=True)) or [()] * (len(_NAMES) - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(columns[0], pa.int32())]
                 + [pa.array(c, pa.int64()) for c in columns[1:]],
-                names=["doc_id", "n_shingles", "c0", "c1", "k0", "k1", "k2", "k3"],
+                names=_NAMES,
             )
 
     return docs.mapInArrow(run, _META)
@@ -307,8 +312,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     """False only where sizes or sketches prove that two sets cannot link."""
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
     apart = sum(
-        (F.bit_count(F.col(f"{a}k{i}").bitwiseXOR(F.col(f"{b}k{i}"))) for i in range(1, 4)),
-        F.bit_count(F.col(f"{a}k0").bitwiseXOR(F.col(f"{b}k0"))),
+        (F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in _PARITIES), F.lit(0)
     )
     return (small.cast("long") * 100 >= large.cast("long") * percent) & (
         apart.cast("long") * (100 + percent)
@@ -378,8 +382,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     classes = known.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(
         known.join(classes, ["c0", "c1"]).select(
-            F.col("doc_id").alias("doc"), "rep", F.col("n_shingles").alias("n"),
-            "k0", "k1", "k2", "k3",
+            F.col("doc_id").alias("doc"), "rep", F.col("n_shingles").alias("n"), *_PARITIES
         ).distinct(),
         "jaccard-nodes",
     )
