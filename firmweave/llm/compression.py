@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from firmweave.llm.tables import map_batches
 from firmweave.llm.wordhash import SPACE, Words, chunks, windows
 
 LEVEL = 3
@@ -143,4 +144,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             )
 
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS)
-    return texts.mapInArrow(run, schema + ", base_failed boolean, kept boolean, ratio double")
+    return map_batches(texts, run, schema + ", base_failed boolean, kept boolean, ratio double")

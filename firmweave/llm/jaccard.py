@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmweave.llm.components import smallest_reachable
-from firmweave.llm.tables import materialize
+from firmweave.llm.tables import map_batches, materialize
 from firmweave.llm.wordhash import U, Words, chunks, constants, mix, windows
 
 WIDTH = 5
@@ -217,10 +217,18 @@ _META = "doc_id long, n_shingles int, " + ", ".join(f"{c} long" for c in _NAMES[
 def _describe(docs: DataFrame, width: int) -> DataFrame:
     """A row per document, and rows of counted shingles (n_shingles -1, c0, count c1)."""
 
+    def table(ids: list, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * (len(_NAMES) - 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(columns[0], pa.int32())]
+            + [pa.array(c, pa.int64()) for c in columns[1:]],
+            names=_NAMES,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen, held, waiting = _Seen(), [], 0
         for batch in batches:
-            rows, counted, held, waiting = [], [], [], 0
+            ids, rows, counted = batch.column(0).to_pylist(), [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 name = class_of(s)
                 rows.append((len(s), *name, *sketch_of(s).tolist()))
@@ -230,17 +238,13 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 if waiting >= COUNTED:
                     counted += _counted(held)
                     held, waiting = [], 0
-            counted += _counted(held)
-            ids = batch.column(0).to_pylist() + [None] * len(counted)
-            rows += [(-1, c, n, *[0] * SKETCH) for c, n in counted]
-            columns = list(zip(*rows, strict=True)) or [()] * (len(_NAMES) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(columns[0], pa.int32())]
-                + [pa.array(c, pa.int64()) for c in columns[1:]],
-                names=_NAMES,
+            yield table(
+                ids + [None] * len(counted), rows + [(-1, c, n, *[0] * SKETCH) for c, n in counted]
             )
+        counted = _counted(held)
+        yield table([None] * len(counted), [(-1, c, n, *[0] * SKETCH) for c, n in counted])
 
-    return docs.mapInArrow(run, _META)
+    return map_batches(docs, run, _META)
 
 
 class _Seen:
@@ -299,7 +303,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int)
             if held:
                 yield _rows(held)
 
-    return docs.mapInArrow(run, "key long, doc long, probe boolean")
+    return map_batches(docs, run, "key long, doc long, probe boolean")
 
 
 def _rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -366,7 +370,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 [pa.array(c, pa.int64()) for c in columns], names=["a", "b"]
             )
 
-    return sorted_texts.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(sorted_texts, run, "a long, b long").distinct()
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:

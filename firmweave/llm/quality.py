@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firmweave.llm.tables import map_batches
 from firmweave.llm.training import collect_features, fold_of, sampled_ids
 from firmweave.llm.wordhash import U, Words, chunks, constants, mix
 
@@ -166,7 +167,7 @@ def _scored(df: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = df.drop("text").schema.add("score", "double")
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, each: int = EACH) -> DataFrame:

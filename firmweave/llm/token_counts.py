@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firmweave.llm.tables import map_batches
+
 TASK_PIECES = 4096
 TABLE_PIECES = 32768
 #: distinct pieces a counting task holds before it drops the rarer half
@@ -87,7 +89,7 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[bytes, int]:
         )
 
     top = (
-        docs.select("text").mapInArrow(count, "piece binary, n long")
+        map_batches(docs.select("text"), count, "piece binary, n long")
         .groupBy("piece").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "piece").limit(TABLE_PIECES)
     )
@@ -116,6 +118,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn(
+    return map_batches(texts, count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn(
         "over_limit", F.col("n_tokens") > limit
     )

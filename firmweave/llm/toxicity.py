@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firmweave.llm.tables import map_batches
 from firmweave.llm.training import collect_features, fold_of, sampled_ids
 from firmweave.llm.wordhash import U, Words, chunks, mix
 
@@ -165,7 +166,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH) -> DataFrame:
                 names=["doc_id", "score", "n_toxic_sentences"],
             )
 
-    return texts.mapInArrow(run, f"doc_id {kind}, score double, n_toxic_sentences long").select(
+    return map_batches(texts, run, f"doc_id {kind}, score double, n_toxic_sentences long").select(
         "doc_id",
         F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

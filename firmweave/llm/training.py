@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from firmweave.llm.tables import materialize
+from firmweave.llm.tables import map_batches, materialize
 
 
 def fold_of(doc_id, parts: int):
@@ -51,6 +51,6 @@ def collect_features(
                 names=["doc_id", "y", "f"],
             )
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, f binary").collect()
+    rows = map_batches(texts, run, "doc_id long, y int, f binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.f)))
     return [np.frombuffer(bytes(r.f), np.int32) for r in rows], np.array([r.y for r in rows], np.int8)

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from firmweave.llm.tables import materialize
+from firmweave.llm.tables import map_batches, materialize
 from firmweave.session import scratch_dir
 
 ARCHIVE_BYTES = 32 << 20
@@ -222,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             names=["path", "n_records"],
         )
 
-    return materialize(_typed(pages).mapInArrow(write, "path string, n_records long"), "warc-list")
+    return materialize(map_batches(_typed(pages), write, "path string, n_records long"), "warc-list")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield batch(rows)
 
     tasks = max(1, archives.count())
-    return archives.select("path").repartition(tasks).mapInArrow(read, RECORD_SCHEMA)
+    return map_batches(archives.select("path").repartition(tasks), read, RECORD_SCHEMA)
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
