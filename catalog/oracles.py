@@ -327,8 +327,8 @@ _BODIES = {
       UNION ALL SELECT 'emails', count(*), count(*) FILTER (o_orderkey % 10 <> 0), count(*), 0
                FROM orders
       UNION ALL SELECT 'news', count(*), count(*), count(*), 0 FROM documents""",
-    "s3_log_sink": "SELECT request_id, step_name, status, payload, timestamp FROM logs",
-    "s4_usage_sink": """SELECT request_id, model_name, input_tokens, output_tokens, total_tokens,
+    "s3_log_sink": "SELECT id, request_id, step_name, status, payload, timestamp FROM logs",
+    "s4_usage_sink": """SELECT id, request_id, model_name, input_tokens, output_tokens, total_tokens,
                                step_name, created_at FROM tokens""",
     "s5_embedding_sink": """
       SELECT vec_id AS lead_id, 'label ' || label || again AS content_summary,
@@ -415,7 +415,7 @@ _BODIES = {
       WITH ranked AS (
         SELECT user_id AS request_id, event_type AS provider, event_id % 3 = 0 AS good,
                event_id % 5 = 0 AS fatal, props, 'error ' || event_id AS err,
-               row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events),
+               row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
       tries AS (SELECT *, (good OR fatal) AS final FROM ranked WHERE n <= 3),
       stop AS (SELECT request_id, provider,
                  coalesce(min(n) FILTER (final), max(n)) AS n FROM tries GROUP BY ALL)
@@ -600,8 +600,8 @@ _BODIES = {
                            ELSE 'processing' END AS status,
                CASE WHEN flag = 'A' THEN 'part ' || part END AS enriched_data FROM (
           SELECT l_orderkey * 2 AS request_id,
-                 arg_max(l_returnflag, (l_shipdate, l_partkey * 10 + l_linenumber)) AS flag,
-                 arg_max(l_partkey, (l_shipdate, l_partkey * 10 + l_linenumber)) AS part
+                 arg_max(l_returnflag, (l_shipdate, l_partkey, l_linenumber)) AS flag,
+                 arg_max(l_partkey, (l_shipdate, l_partkey, l_linenumber)) AS part
           FROM lineitem GROUP BY 1)) u USING (request_id)""",
     "u2_cascade_delete": """
       SELECT 'leads' AS table_name, request_id AS key, count(*) AS n FROM leads
@@ -616,9 +616,13 @@ _BODIES = {
       SELECT id, setting_key, setting_value FROM config
       UNION ALL SELECT count(*), '(total)', NULL FROM config""",
     "c2_upsert": """
-      SELECT c.id, coalesce(c.setting_key, n.setting_key) AS setting_key,
+      SELECT coalesce(c.id, (SELECT max(id) FROM config) + rank) AS id,
+             coalesce(c.setting_key, n.setting_key) AS setting_key,
              coalesce(n.setting_value, c.setting_value) AS setting_value
-      FROM config c FULL JOIN changes n ON c.setting_key = n.setting_key""",
+      FROM config c FULL JOIN changes n ON c.setting_key = n.setting_key
+      LEFT JOIN (SELECT setting_key AS new_key, row_number() OVER (ORDER BY setting_key) AS rank
+                 FROM changes WHERE setting_key NOT IN (SELECT setting_key FROM config))
+             ON n.setting_key = new_key""",
     "c3_update_existing": """
       SELECT 'table' AS part, c.setting_key,
              coalesce(n.setting_value, c.setting_value) AS setting_value
@@ -642,9 +646,17 @@ _BODIES = {
              arg_max(status, (timestamp, id)) AS status, max(timestamp) AS timestamp
       FROM step_events GROUP BY request_id""",
     "r5s_stream_monitor": """
-      SELECT request_id, step_name, status, timestamp,
-             status = 'failed' OR (step_name = 'save_final_lineage' AND status = 'success') AS closed
-      FROM step_events""",
+      SELECT request_id, id, step_name, status, timestamp, closed, run,
+             row_number() OVER (PARTITION BY request_id, run ORDER BY timestamp, id) AS place,
+             min(timestamp) OVER (PARTITION BY request_id, run) AS opened_at
+      FROM (
+        SELECT *, CAST(1 + coalesce(sum(CAST(closed AS INTEGER)) OVER (
+                 PARTITION BY request_id ORDER BY timestamp, id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS run
+        FROM (
+          SELECT *, status = 'failed'
+                 OR (step_name = 'save_final_lineage' AND status = 'success') AS closed
+          FROM step_events)) """,
     "r6s_stream_status_counts": "SELECT status, count(*) AS leads FROM leads GROUP BY status",
     "r6s_stream_usage_totals": """
       SELECT CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
@@ -729,6 +741,20 @@ _BODIES["x4_embedding_never_fails"] = f"""
       SELECT request_id AS lead_id, {_SUMMARY} AS content_summary, vec_id IS NULL AS is_zero
       FROM outcome LEFT JOIN embeddings ON request_id = vec_id
       WHERE valid AND fill_error IS NULL"""
+_BODIES["e1_embeddings"] = _BODIES["x4_embedding_never_fails"]
+_BODIES["a2_status_of_completed"] = """
+      SELECT request_id,
+             CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END AS status
+      FROM outcome"""
+_BODIES["e1_usage"] = """
+      SELECT request_id, 'evaluate_intelligence_gate' AS step_name,
+             CAST(20 + quality AS INTEGER) AS input_tokens,
+             CAST(5 + toxic AS INTEGER) AS output_tokens
+      FROM gaps_requests JOIN requests r USING (request_id) JOIN labels ON doc_id = request_id
+      WHERE r.errors = '' AND len(gaps) > 0 AND doc_id % 8 <> 2
+      UNION ALL
+      SELECT request_id, 'spawn_fallback_agent', p_size * 10, p_size
+      FROM fills f JOIN outcome USING (request_id) WHERE needs AND f.k <> 3"""
 CTES["stream_requests"] = """
       SELECT o_orderkey AS request_id, o_orderkey % 6 NOT IN (1, 2) AS valid,
              CASE o_orderkey % 6 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'Company ' || o_custkey END
@@ -764,5 +790,12 @@ _BODIES["s1_intake"] = f"""
              coalesce(', "company_domain": "' || {DOMAIN} || '"', '') || '}}' END AS raw_input,
         'pending' AS status, {NOW} AS created_at
       FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+_BODIES["q5_recent_of_completed"] = f"""
+      SELECT request_id, coalesce(CASE WHEN json_valid(raw_input)
+               THEN json_extract_string(raw_input, '$.company_name') END, 'Unknown') AS company,
+             CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END AS status,
+             outcome.created_at AS created_at
+      FROM outcome JOIN ({_BODIES["s1_intake"]}) intake USING (request_id)
+      ORDER BY outcome.created_at DESC, request_id LIMIT 10"""
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}

@@ -98,7 +98,7 @@ def s2_provider_source(spark, sf):
 def s3_log_sink(spark, sf):
     path = scratch_dir(spark, "s3")
     sinks.append_logs(V.logs(spark, sf), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("seq")
 
 
 @query
@@ -319,22 +319,18 @@ def n7_provider_requests(spark, sf):
 
 @query
 def n8_reduce_attempts(spark, sf):
-    return providers.reduce_attempts(V.attempts(spark, sf), order=["ts"])
+    return providers.reduce_attempts(V.attempts(spark, sf), order=["ts", "event_id"])
 
 
 # -- merge, gaps, fill --------------------------------------------------------
 
 
+def _requested(spark, sf) -> DataFrame:
+    return V.leads(spark, sf).select("request_id", "company_name", "company_domain")
+
+
 def _merged(spark, sf) -> DataFrame:
-    leads = V.leads(spark, sf).select("request_id", "company_name", "company_domain")
-    landed = V.payloads(spark, sf)
-    wide = {
-        role: providers.normalize(keyed.co_locate(df).join(leads, "request_id"), role)
-        for role, df in landed.items()
-    }
-    return merging.merge_providers(
-        leads, wide["profile"], wide["contact"], wide["emails"], wide["news"]
-    )
+    return merging.merge_payloads(_requested(spark, sf), V.payloads(spark, sf))
 
 
 def _gapped(spark, sf) -> DataFrame:
@@ -352,7 +348,8 @@ def m1_priority_merge(spark, sf):
 
 @query
 def m2_sources(spark, sf):
-    return _merged(spark, sf).select("request_id", joined("api_sources").alias("api_sources"))
+    found = merging.queried_sources(_requested(spark, sf), V.payloads(spark, sf))
+    return found.select("request_id", joined("api_sources").alias("api_sources"))
 
 
 @query
@@ -485,6 +482,46 @@ def e2_step_logs(spark, sf):
     )
 
 
+def _written(spark, sf) -> str:
+    """Everything the whole job writes, below one folder."""
+    path = scratch_dir(spark, "completion")
+    vectors = V.embeddings(spark, sf).select("lead_id", "embedding")
+    sinks.write_completion(
+        trace(spark, sf), path, now=now(), vectors=vectors,
+        model_name="offline-model", dim=64,
+    )
+    return path
+
+
+@query
+def e1_usage(spark, sf):
+    return completion.usage_of(trace(spark, sf), now()).select(
+        "request_id", "step_name", "input_tokens", "output_tokens"
+    )
+
+
+@query
+def e1_embeddings(spark, sf):
+    vectors = V.embeddings(spark, sf).select("lead_id", "embedding")
+    return completion.embeddings_of(trace(spark, sf), vectors, now(), dim=64).select(
+        "lead_id", "content_summary", F.forall("embedding", lambda v: v == 0).alias("is_zero")
+    )
+
+
+@query
+def q5_recent_of_completed(spark, sf):
+    """The newest of the leads that the job itself wrote."""
+    return records.recent(spark.read.parquet(f"{_written(spark, sf)}/leads"))
+
+
+@query
+def a2_status_of_completed(spark, sf):
+    """Folding the written logs gives back the status that the job gave."""
+    path = _written(spark, sf)
+    leads = spark.read.parquet(f"{path}/leads")
+    return audit.lead_status(leads, spark.read.parquet(f"{path}/logs"))
+
+
 # -- search -------------------------------------------------------------------
 
 
@@ -516,7 +553,7 @@ def x2_nearest_batch(spark, sf):
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("embedding"))
     )
     queries = means.select(F.col("label").cast("bigint").alias("query_id"), "embedding")
-    return search.search_batch(V.embeddings(spark, sf), queries, 10).select(
+    return search.search_batch(V.embeddings(spark, sf), queries, 10, dim=64).select(
         "query_id", "id", "rank", "similarity"
     )
 
@@ -688,10 +725,10 @@ def u1_update_leads(spark, sf):
         "l_orderkey * 2 AS request_id",
         "CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'processing' END AS status",
         "CASE WHEN l_returnflag = 'A' THEN concat('part ', l_partkey) END AS enriched_data",
-        "l_shipdate AS changed_at", "l_partkey * 10 + l_linenumber AS seq",
+        "l_shipdate AS changed_at", "l_partkey AS part", "l_linenumber AS line",
     )
     return records.update_leads(
-        V.leads(spark, sf), updates, order=["changed_at", "seq"], now=now()
+        V.leads(spark, sf), updates, order=["changed_at", "part", "line"], now=now()
     ).select("request_id", "status", "enriched_data", "created_at", "updated_at")
 
 
@@ -829,11 +866,13 @@ def r2s_stream_dedup(spark, sf):
 @query
 def r3s_stream_enrich(spark, sf):
     out = scratch_dir(spark, "r3s")
+    roles = V.payloads(spark, sf)
+    readers = {role: (lambda role=role: V.payloads(spark, sf)[role]) for role in roles}
     _finish(stream_requests.stream_enrich(
-        _request_stream(spark, sf), V.payloads(spark, sf), out, f"{out}-state",
-        V.verdicts(spark, sf), V.responses(spark, sf), available_now=True,
+        _request_stream(spark, sf), readers, out, f"{out}-state",
+        lambda: V.verdicts(spark, sf), lambda: V.responses(spark, sf), available_now=True,
     ))
-    return spark.read.parquet(f"{out}/leads").select(
+    return stream_requests.read_current(spark, out).select(
         "request_id", "status", "enriched_data.company_name", "enriched_data.industry",
         joined("enriched_data.api_sources").alias("api_sources"),
         F.col("enriched_data.had_fallback").alias("had_fallback"),

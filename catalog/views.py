@@ -334,7 +334,7 @@ def step_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
-        "user_id AS request_id", "event_type AS provider", "ts",
+        "user_id AS request_id", "event_type AS provider", "ts", "event_id",
         "CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'error' END AS outcome",
         "event_id % 5 <> 0 AS retryable", "props AS body",
         "concat('error ', event_id) AS error",

@@ -10,24 +10,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from firmweave import schemas as S
 from firmweave.operators.records import lookup_many
+from firmweave.session import materialize
 from firmweave.sources.sinks import usage_ledger_rows
 
 
 def logs_for(logs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """A1: logs of the asked requests, oldest first, each with the request's total.
 
-    A request without logs has no rows (not found).  The global sort is by
-    range over (request, time, id), which also spreads a hot request.
+    A request without logs has no rows (not found).  Totals are counted map-side,
+    written, and joined by their measured size: broadcast while small, else by a
+    sort-merge join whose hot requests AQE splits.  The final sort is by range over
+    (request, time, id), which spreads a hot request too.
     """
     wanted = logs if ids is None else lookup_many(logs, ids, "request_id")
-    totals = wanted.groupBy("request_id").agg(F.count("*").alias("total"))
-    return wanted.join(totals, "request_id").orderBy("request_id", "timestamp", "id")
+    totals = materialize(wanted.groupBy("request_id").agg(F.count("*").alias("total")), "totals")
+    return wanted.join(totals, "request_id").orderBy("request_id", *log_order(logs))
+
+
+def log_order(logs: DataFrame) -> list[str]:
+    """Columns that order the logs of a request: several may share a time of writing."""
+    return [c for c in ("timestamp", "seq", "id") if c in logs.columns]
 
 
 def lead_status(requests: DataFrame, logs: DataFrame) -> DataFrame:
     """A2: the status each request has according to its last log row."""
     last = logs.groupBy("request_id").agg(
-        F.max_by(F.struct("step_name", "status"), F.struct("timestamp", "id")).alias("_last")
+        F.max_by(F.struct("step_name", "status"), F.struct(*log_order(logs))).alias("_last")
     )
     step, status = F.col("_last.step_name"), F.col("_last.status")
     return requests.select("request_id").join(last, "request_id", "left").select(
@@ -51,7 +59,7 @@ def step_spans(logs: DataFrame) -> DataFrame:
     spans = logs.groupBy("request_id", "step_name").agg(
         F.min(F.when(F.col("status") == "started", ts)).alias("started_at"),
         F.max(F.when(ended, ts)).alias("ended_at"),
-        F.max_by("status", F.struct("timestamp", "id")).alias("status"),
+        F.max_by("status", F.struct(*log_order(logs))).alias("status"),
     )
     seconds = F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(
         F.col("started_at").cast("timestamp")
@@ -61,7 +69,9 @@ def step_spans(logs: DataFrame) -> DataFrame:
 
 def latest_step(logs: DataFrame) -> DataFrame:
     """A4: the newest step message of each request."""
-    newest = F.max_by(F.struct("step_name", "status", "timestamp"), F.struct("timestamp", "id"))
+    newest = F.max_by(
+        F.struct("step_name", "status", "timestamp"), F.struct(*log_order(logs))
+    )
     return logs.groupBy("request_id").agg(newest.alias("_m")).select(
         "request_id", F.col("_m.step_name").alias("step"), "_m.status", "_m.timestamp"
     )

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from firmweave.session import materialize
 
 
 def co_locate(df: DataFrame, key: str = "request_id") -> DataFrame:
     """Shuffle by the key now, so that parsing and joining happen after it.
 
     The joins that follow use the same key and add no shuffle of their own.
-    Not for inputs that are bucketed by the key already.
+    Only for inputs of at most one row per key: AQE splits a hot key in shuffles
+    that it inserted itself, not in this one.  Not for inputs that are bucketed
+    by the key already.
     """
     return df.repartition(key)
 
@@ -45,15 +49,21 @@ def upsert(
     changes: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] | None = None,
+    new_id: str = "id",
 ) -> DataFrame:
     """Replace the values of existing keys, insert the others.
 
     ``changes`` carries the keys, (some of) the table's value columns and the
     ``order`` columns deciding which change of a key is last; without ``order``
     the keys must be unique.  Columns a change does not carry keep their value
-    on update and are NULL on insert.
+    on update and are NULL on insert, except ``new_id``: where the table has that
+    integer column, an inserted row gets a number of its own above all given
+    ones.  The number is the rank of its key among the inserted ones, found by a
+    range sort, a count per partition and a sum of those counts.
+    Changes with a NULL key are left out, as they match nothing.
     """
     keys = list(keys)
+    changes = changes.dropna(subset=keys)
     carried = [c for c in changes.columns if c in table.columns and c not in keys]
     new = _reduced(changes, keys, order).select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in carried], F.lit(True).alias("_changed")
@@ -65,7 +75,30 @@ def upsert(
         else F.col(c)
         for c in table.columns
     ]
-    return joined.select(*columns)
+    if new_id not in table.columns or new_id in [*carried, *keys]:
+        return joined.select(*columns)
+    fresh = _numbered(new.join(table, keys, "left_anti").select(*keys), keys)
+    top = table.agg(F.coalesce(F.max(new_id), F.lit(0)).cast("bigint").alias("_top"))
+    numbered = joined.join(fresh, keys, "left").select(*columns[: table.columns.index(new_id)], (
+        F.coalesce(F.col(new_id).cast("bigint"), top.scalar() + F.col("_rank"))
+        .cast(table.schema[new_id].dataType).alias(new_id)
+    ), *columns[table.columns.index(new_id) + 1:])
+    return numbered
+
+
+def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_rank``: 1, 2, ... in the order of the (unique) keys, without one big sort task."""
+    ranged = materialize(
+        rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranks"
+    )
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(
+        "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")
+    )
+    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return ranged.join(before, "_part").select(
+        *keys, (F.col("_before") + in_part).alias("_rank")
+    )
 
 
 def update_existing(

@@ -7,7 +7,7 @@ joining verdicts and responses by request_id nothing here shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,7 +15,13 @@ from firmweave import schemas as S
 from firmweave.functions import variants as V
 from firmweave.functions.once import with_once
 from firmweave.functions.truth import falsy, names_where
-from firmweave.operators.providers import PROVIDER_FIELDS, result_columns
+from firmweave.operators.keyed import co_locate
+from firmweave.operators.providers import (
+    PROVIDER_FIELDS,
+    provider_state,
+    result_columns,
+    with_provider,
+)
 from firmweave.operators.validation import check_extractions, gap_list
 
 PROVIDERS = list(S.PROVIDER_SOURCES)  # lowest priority first
@@ -104,6 +110,56 @@ def merge_providers(
     return merge_results(wide)
 
 
+def join_payloads(
+    requests: DataFrame,
+    payloads: Mapping[str, DataFrame],
+    located: Callable[[DataFrame], DataFrame] = co_locate,
+    columns: tuple[str, ...] = ("configured", "body", "error"),
+) -> DataFrame:
+    """Each request with every provider's landed row, prefixed and not yet parsed.
+
+    Inputs hold one row per request_id at most.  ``located`` shuffles an input by
+    that key (nothing to do for bucketed ones); the joins reuse the layout.
+    """
+    types = {"configured": "boolean", "body": "string", "error": "string"}
+    wide = located(requests)
+    for p in PROVIDERS:
+        if p in payloads:
+            named = [F.col(c).alias(f"{p}_{c}") for c in columns]
+            wide = wide.join(located(payloads[p].select("request_id", *named)), "request_id", "left")
+        else:
+            wide = wide.withColumns({f"{p}_{c}": F.lit(None).cast(types[c]) for c in columns})
+    return wide
+
+
+def merge_payloads(
+    requests: DataFrame, payloads: Mapping[str, DataFrame],
+    located: Callable[[DataFrame], DataFrame] = co_locate,
+) -> DataFrame:
+    """M1-M4 from raw payloads: one wide join, then every body is read in place.
+
+    ``requests``: request_id, company_name, company_domain.
+    """
+    wide = join_payloads(requests, payloads, located)
+    for p in PROVIDERS:
+        wide = with_provider(wide, p, prefix=f"{p}_")
+    return merge_results(wide)
+
+
+def queried_sources(
+    requests: DataFrame, payloads: Mapping[str, DataFrame],
+    located: Callable[[DataFrame], DataFrame] = co_locate,
+) -> DataFrame:
+    """M2 alone: (request_id, api_sources), from settings only; no body is read."""
+    wide = join_payloads(requests, payloads, located, ("configured",))
+    called = {
+        S.PROVIDER_SOURCES[p]: provider_state(p, F.col(f"{p}_configured"), F.col("company_domain"))
+        == "called"
+        for p in PROVIDERS
+    }
+    return wide.select("request_id", names_where(called).alias("api_sources"))
+
+
 # -- G1..G3 -----------------------------------------------------------------
 
 

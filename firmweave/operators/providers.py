@@ -174,7 +174,7 @@ def with_provider(df: DataFrame, provider: str, prefix: str = "") -> DataFrame:
     )
     state = provider_state(provider, F.col(f"{prefix}configured"), F.col("company_domain"))
     called = F.col(f"{prefix}_called") == "called"
-    df = with_once(df.withColumn(f"{prefix}_called", state), **{f"{prefix}_doc": V.parse(body)})
+    df = with_once(df.withColumn(f"{prefix}_called", state), **{f"{prefix}_doc": V.parse(F.when(called, body))})
     df = df.withColumn(f"{prefix}_failure", F.when(called, failure))
     good = called & F.col(f"{prefix}_failure").isNull()
     added = {

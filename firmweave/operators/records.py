@@ -13,6 +13,7 @@ from firmweave import schemas as S
 from firmweave.functions import display as D
 from firmweave.operators.keyed import latest_per_key
 from firmweave.operators.validation import check_page
+from firmweave.session import materialize
 
 PER_PAGE = 20
 
@@ -21,6 +22,13 @@ def _newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("request_id").asc()]
 
 
+def company_of(df: DataFrame) -> Column:
+    """The company's name: a column of its own, or the one in the raw request."""
+    if "company_name" in df.columns:
+        return F.col("company_name")
+    return F.get_json_object("raw_input", "$.company_name")
+
+
 def _with_status(df: DataFrame, status: str | None) -> DataFrame:
     return df.filter(F.col("status") == status) if status else df
 
@@ -72,7 +80,7 @@ def recent(df: DataFrame, n: int = 10) -> DataFrame:
     """Q5: the newest leads with company, status and creation time."""
     return df.orderBy(*_newest_first()).limit(n).select(
         "request_id",
-        F.coalesce("company_name", F.lit(S.UNKNOWN_COMPANY_TEXT)).alias("company"),
+        F.coalesce(company_of(df), F.lit(S.UNKNOWN_COMPANY_TEXT)).alias("company"),
         "status",
         "created_at",
     )
@@ -83,14 +91,18 @@ def runs(leads: DataFrame, logs: DataFrame, n: int = 50) -> DataFrame:
 
     Long form: one row per log (one row with NULL log columns for a lead
     without any), carrying ``step_count``, the number of log rows.  The at most
-    ``n`` leads are picked first and then meet the logs, so the logs are only
-    filtered; no lead's logs are gathered in one place, however many they are.
+    ``n`` leads are picked first, and one semi join keeps their logs; only these
+    are counted and meet the leads.  The picked leads are the small side of each
+    join that reads all logs, so Spark broadcasts them.
     """
     picked = (
         leads.filter(F.col("status").isin("processing", "completed", "failed"))
         .orderBy(*_newest_first())
         .limit(n)
-        .select("request_id", "company_name", F.col("status").alias("lead_status"), "created_at")
+        .select(
+            "request_id", company_of(leads).alias("company_name"),
+            F.col("status").alias("lead_status"), "created_at",
+        )
     )
     return _with_logs(picked, logs).orderBy(
         F.col("created_at").desc(), "request_id", "timestamp", "log_id"
@@ -98,12 +110,9 @@ def runs(leads: DataFrame, logs: DataFrame, n: int = 50) -> DataFrame:
 
 
 def _with_logs(picked: DataFrame, logs: DataFrame) -> DataFrame:
-    counts = (
-        logs.join(picked.select("request_id"), "request_id", "left_semi")
-        .groupBy("request_id")
-        .agg(F.count("*").alias("step_count"))
-    )
-    entries = logs.select(
+    kept = logs.join(picked.select("request_id"), "request_id", "left_semi")
+    counts = kept.groupBy("request_id").agg(F.count("*").alias("step_count"))
+    entries = kept.select(
         "request_id",
         F.col("id").alias("log_id"),
         "step_name",
@@ -134,7 +143,7 @@ def detail(
     none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     head = leads.select(
         "request_id", F.lit("lead").alias("kind"), F.col("created_at").alias("at"),
-        none_int.alias("id"), F.col("company_name").alias("name"), "status",
+        none_int.alias("id"), company_of(leads).alias("name"), "status",
         none_int.alias("total_tokens"),
     )
     steps = logs.join(keys, "request_id", "left_semi").select(
@@ -154,7 +163,7 @@ def detail(
 def report(df: DataFrame) -> DataFrame:
     """Q8: leads as shown in a list."""
     return df.select(
-        F.coalesce("company_name", F.lit(S.UNKNOWN_COMPANY_TEXT)).alias("company"),
+        F.coalesce(company_of(df), F.lit(S.UNKNOWN_COMPANY_TEXT)).alias("company"),
         F.col("request_id").cast("string").alias("request_id"),
         D.short_id(F.col("request_id")).alias("shown_id"),
         "status",
@@ -229,10 +238,15 @@ def cascade_delete(
     """Remove leads by request_id together with their child rows.
 
     ``children`` maps a table name to (rows, child key, lead key), e.g. the
-    embeddings refer by lead_id to leads.id and the others by request_id.
+    embeddings refer by lead_id to leads.id and the others by request_id.  The
+    doomed keys are found and written once; each child only meets that table.
     """
-    doomed = leads.join(ids.select("request_id").distinct(), "request_id", "left_semi")
-    kept = {"leads": leads.join(ids.select("request_id").distinct(), "request_id", "left_anti")}
+    asked = ids.select("request_id").distinct()
+    lead_keys = list(dict.fromkeys(key for _, _, key in children.values()))
+    doomed = materialize(
+        leads.join(asked, "request_id", "left_semi").select(*lead_keys).distinct(), "doomed"
+    )
+    kept = {"leads": leads.join(asked, "request_id", "left_anti")}
     for name, (rows, child_key, lead_key) in children.items():
         gone = doomed.select(F.col(lead_key).alias(child_key))
         kept[name] = rows.join(gone, child_key, "left_anti")

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from firmweave import schemas as S
 from firmweave.functions.truth import truthy
+from firmweave.session import materialize
 
-# Queries up to this many bytes of vectors are shipped to every task.
-SHIP_LIMIT_BYTES = 64 * 1024 * 1024
 # Distances are compared at this many decimals, so that equal vectors tie
 # whatever order their products are summed in; ties go to the smaller id.
 DISTANCE_DECIMALS = 12
@@ -130,6 +129,8 @@ def _score_batches(
     many rows as keep (queries x rows) within ``SLICE_CELLS``.
     """
     count, dim = queries.shape
+    if not count:
+        return
     step = max(1, SLICE_CELLS // max(1, count))
     best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     id_type = None
@@ -205,79 +206,41 @@ def _with_columns(embeddings: DataFrame, best: DataFrame) -> DataFrame:
     return best.join(embeddings.select("id", *extra), "id")
 
 
+def bad_queries(queries: DataFrame, dim: int) -> DataFrame:
+    """Queries without a vector of ``dim`` numbers: ``search_batch`` leaves them out."""
+    return bad_vectors(queries, dim)
+
+
 def search_batch(
     embeddings: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    ship_limit_bytes: int = SHIP_LIMIT_BYTES,
-    block_rows: int = 4096,
+    dim: int = S.EMBEDDING_DIM,
+    chunk_rows: int = 4096,
 ) -> DataFrame:
     """The ``k`` nearest rows for each query (query_id BIGINT, embedding).
 
-    Query vectors up to ``ship_limit_bytes`` go to every task and the
-    embeddings are scanned once without a shuffle.  A larger query table stays
-    distributed: queries and embeddings are cut into blocks by a hash of their
-    id, every pair of blocks meets in one task, and each task again emits its
-    best ``k`` per query only.  Both ways are exact.
+    Queries are dealt into chunks of about ``chunk_rows``; the vectors of one
+    chunk (at most a few times that many) go to every task, which scans its share
+    of the embeddings, unshuffled, and emits its best ``k`` per query.  Work grows
+    with queries times embeddings, as any exact search does; what is sent or
+    shuffled never holds the embeddings.  Rows and queries of another length than
+    ``dim`` are left out: ``bad_vectors`` and ``bad_queries`` list them.
     """
-    spark = embeddings.sparkSession
-    queries = queries.filter(F.col("embedding").isNotNull())
-    sized = queries.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells"),
-        F.min(F.size("embedding")).alias("shortest"),
-        F.max(F.size("embedding")).alias("longest"),
-    ).first()
-    if sized["shortest"] != sized["longest"]:
-        raise ValueError("query vectors differ in length")
-    if sized["cells"] * 8 <= ship_limit_bytes:
-        rows = queries.select("query_id", "embedding").collect()
-        if not rows:
-            return spark.createDataFrame(
-                [], "query_id long, id long, distance double, rank int, similarity double"
-            )
+    good = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+    stored = materialize(good.select("query_id", "embedding"), "queries")
+    chunks = max(1, -(-stored.count() // chunk_rows))
+    dealt = stored.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    schema = _candidate_schema(embeddings.schema["id"].dataType)
+    found = None
+    for chunk in range(chunks):
+        rows = dealt.filter(F.col("chunk") == chunk).orderBy("query_id").collect()
+        if not rows and found is not None:
+            continue
         ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        matrix = np.asarray([r["embedding"] for r in rows], dtype=np.float64)
-        return _ranked(_nearest(embeddings, ids, matrix, k), k)
-    return _ranked(_blocked(embeddings, queries, k, block_rows, sized["n"]), k)
-
-
-def _blocked(
-    embeddings: DataFrame, queries: DataFrame, k: int, block_rows: int, n_queries: int
-) -> DataFrame:
-    """Candidates by pairs of blocks; block counts follow from the table sizes."""
-    n_rows = embeddings.count()
-    q_blocks = max(1, -(-n_queries // block_rows))
-    e_blocks = max(1, -(-n_rows // (2 * block_rows)))
-    left = queries.select(
-        F.col("query_id"),
-        F.col("embedding"),
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.expr(f"sequence(0L, {e_blocks - 1}L)")).alias("eb"),
-    )
-    right = embeddings.select(
-        F.col("id"),
-        F.col("embedding"),
-        F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")).alias("qb"),
-        F.pmod(F.xxhash64("id"), F.lit(e_blocks)).alias("eb"),
-    )
-
-    def meet(queries_pdf: pa.Table, rows_pdf: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [("query_id", pa.int64()), ("id", rows_pdf.schema.field("id").type),
-             ("distance", pa.float64())]
+        matrix = np.asarray([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, dim)
+        near = materialize(_nearest(embeddings, ids, matrix, k), "candidates") if chunks > 1 else (
+            _nearest(embeddings, ids, matrix, k)
         )
-        if not queries_pdf.num_rows or not rows_pdf.num_rows:
-            return schema.empty_table()
-        vectors = queries_pdf.column("embedding").combine_chunks()
-        dim = len(vectors[0])
-        usable, matrix = _matrix(vectors, dim)
-        ids = queries_pdf.column("query_id").to_numpy()[usable]
-        scored = _score_batches(
-            iter(rows_pdf.select(["id", "embedding"]).to_batches()), ids, matrix, k
-        )
-        return pa.Table.from_batches(list(scored), schema)
-
-    return left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInArrow(
-        meet, _candidate_schema(embeddings.schema["id"].dataType)
-    )
+        found = near if found is None else found.unionByName(near)
+    return _ranked(found.select(*schema.names), k)

@@ -101,7 +101,7 @@ LEADS_DDL = (
     "created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 LOGS_DDL = (
-    "id BIGINT, request_id STRING, step_name STRING, status STRING, "
+    "id BIGINT, request_id STRING, seq INT, step_name STRING, status STRING, "
     "payload STRING, timestamp TIMESTAMP"
 )
 USAGE_DDL = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +37,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests
-    on one machine) is a temporary folder used.
+    ``spark.checkpoint.dir`` names that folder.  Where it is unset, a temporary
+    folder serves a session on one machine, whose tasks share its disk; on a
+    cluster that is an error, since other machines would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="firmweave-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -48,9 +54,32 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a plan forks into several sinks: the work runs once and a lost
-    executor costs a re-read of files, not a recomputation.
+    executor costs a re-read of files, not a recomputation.  The frame may be used
+    as long as the session lives; where its uses end earlier, ``materialized``
+    takes the files away.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def materialized(df: DataFrame, purpose: str = "stage") -> Iterator[DataFrame]:
+    """``df`` written to the shared folder for the length of a ``with`` block.
+
+    All uses must be over when the block ends: its folder is then removed.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        discard(spark, path)

@@ -6,10 +6,13 @@ path it reads: changed tables go to a new path.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from firmweave import schemas as S
 from firmweave.plans import completion as C
-from firmweave.session import materialize
+from firmweave.session import materialized
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -36,12 +39,31 @@ def intake(
     ).withColumn("id", F.col("request_id"))
 
 
+def with_id(df: DataFrame, *parts: str) -> DataFrame:
+    """Rows with an integer ``id``: their own, or a hash of what identifies them.
+
+    A hash gives a re-run the same ids without a counter that all tasks share.
+    """
+    if "id" in df.columns:
+        return df
+    return df.withColumn("id", F.xxhash64(*parts))
+
+
 def log_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """S3: step-log rows stamped with the time of writing."""
+    """S3: step-log rows stamped with the time of writing.
+
+    ``seq`` is the place of a row within its run; rows that were written together
+    share their time and are ordered by it.
+    """
+    if "seq" not in df.columns:
+        df = df.withColumn("seq", F.lit(None).cast("int"))
+    df = with_id(df, "request_id", "seq", "step_name", "status")
     stamped = df if now is None else df.withColumn("timestamp", now)
     if "timestamp" not in stamped.columns:
         stamped = stamped.withColumn("timestamp", F.current_timestamp())
-    return stamped.select("request_id", "step_name", "status", "payload", "timestamp")
+    return stamped.select(
+        "id", "request_id", "seq", "step_name", "status", "payload", "timestamp"
+    )
 
 
 def append_logs(df: DataFrame, path: str, now: Column | None = None) -> None:
@@ -52,8 +74,9 @@ def usage_ledger_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Ledger rows; the total is fixed when written."""
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.current_timestamp() if now is None else now)
+    df = with_id(df, "request_id", "step_name", "created_at")
     return df.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")).select(
-        "request_id", "model_name", "input_tokens", "output_tokens", "total_tokens",
+        "id", "request_id", "model_name", "input_tokens", "output_tokens", "total_tokens",
         "step_name", "created_at",
     )
 
@@ -66,7 +89,12 @@ def append_embeddings(df: DataFrame, path: str, now: Column | None = None) -> No
     """Summary and vector are added; earlier vectors of the lead stay."""
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.current_timestamp() if now is None else now)
-    append(df.select("lead_id", "embedding", "content_summary", "created_at"), path)
+    append(embedding_rows(df), path)
+
+
+def embedding_rows(df: DataFrame) -> DataFrame:
+    df = with_id(df, "lead_id", "content_summary", "created_at")
+    return df.select("id", "lead_id", "embedding", "content_summary", "created_at")
 
 
 def write_leads(leads: DataFrame, completed: DataFrame, path: str, now: Column | None = None) -> None:
@@ -79,13 +107,28 @@ def write_leads(leads: DataFrame, completed: DataFrame, path: str, now: Column |
     update_leads(leads, done, now=now).write.mode("errorifexists").parquet(path)
 
 
-def write_completion(traced: DataFrame, path: str, now: Column | None = None) -> None:
-    """Write leads, logs and rejects of one trace below ``path``.
+def write_completion(
+    traced: DataFrame,
+    path: str,
+    now: Column | None = None,
+    vectors: DataFrame | None = None,
+    model_name: str = C.MODEL_NAME,
+    dim: int = S.EMBEDDING_DIM,
+) -> None:
+    """Write leads, logs, rejects, usage and embeddings of one trace below ``path``.
 
     The trace is written once to the shared folder and projected from there, so
-    the three outputs agree and a lost executor only re-reads files.
+    the outputs agree and a lost executor only re-reads files.  All rows carry one
+    time of writing unless ``now`` is given.
     """
-    stored = materialize(traced, "trace")
-    C.leads_of(stored, now).write.mode("overwrite").parquet(f"{path}/leads")
-    C.derive_logs(stored, now).write.mode("overwrite").parquet(f"{path}/logs")
-    C.rejects_of(stored).write.mode("overwrite").parquet(f"{path}/rejected")
+    now = F.lit(datetime.now(timezone.utc)) if now is None else now
+    with materialized(traced, "trace") as stored:
+        outputs = {
+            "leads": C.leads_of(stored, now),
+            "logs": log_rows(C.derive_logs(stored, now)),
+            "rejected": C.rejects_of(stored),
+            "usage": usage_ledger_rows(C.usage_of(stored, now, model_name)),
+            "embeddings": embedding_rows(C.embeddings_of(stored, vectors, now, dim)),
+        }
+        for name, df in outputs.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -49,19 +49,33 @@ def test_one_query(spark):
     assert [(r.id, r.similarity) for r in zero] == [(0, None), (1, None), (2, None)]
 
 
-def test_many_queries_both_ways(spark):
+def test_many_queries_in_chunks(spark):
     vectors = sample()
     queries = {i: vectors[i] for i in range(10)}
     want = {i: brute(vectors, q, 4) for i, q in queries.items()}
+    queries |= {70: None, 71: np.ones(5), 72: np.ones(7)}
     df, asked = table(spark, vectors).repartition(3), table(spark, queries, "query_id")
-    for how in ({}, {"ship_limit_bytes": 0, "block_rows": 4}):
-        rows = X.search_batch(df, asked, 4, **how).orderBy("query_id", "rank").collect()
+    assert sorted(r.query_id for r in X.bad_queries(asked, 6).collect()) == [70, 71, 72]
+    for how in ({}, {"chunk_rows": 3}):
+        rows = X.search_batch(df, asked, 4, dim=6, **how).orderBy("query_id", "rank").collect()
         got = {}
         for r in rows:
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
 
 
+def test_text_ids_and_no_queries(spark):
+    vectors = {k: v for k, v in sample().items() if v is not None and len(v) == 6}
+    df = table(spark, vectors).withColumn("id", F.format_string("%04d", "id"))
+    asked = table(spark, {i: vectors[i] for i in range(5)}, "query_id")
+    found = X.search_batch(df, asked, 3, dim=6, chunk_rows=2)
+    assert dict(found.dtypes)["id"] == "string"
+    got = {(r.query_id, r["rank"]): int(r.id) for r in found.collect()}
+    assert got == {(q, n + 1): i for q in range(5) for n, i in enumerate(brute(vectors, vectors[q], 3))}
+    nothing = X.search_batch(df, asked.limit(0), 3, dim=6)
+    assert nothing.count() == 0 and dict(nothing.dtypes)["id"] == "string"
+
+
 def test_summary_and_vectors(spark):
     ddl = ("lead_id string, company_name string, industry string, company_description string, "
            "ceo_name string, employee_count bigint, funding_raised string, founding_year bigint")
