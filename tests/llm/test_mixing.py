@@ -61,5 +61,8 @@ def test_mix_repeats_whole_rows(spark):
 
 def test_taken_near_target(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    rows = mixing.mix_report(docs).groupBy("target").agg(F.sum("taken").alias("t")).collect()
-    assert all(abs(r.t - r.target) < 0.15 * r.target for r in rows)
+    report = mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id")
+    rows = report.groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()
+    assert len(rows) == 20
+    assert all(abs(r.t - r.target) < 0.2 * r.target for r in rows)
+    assert abs(sum(r.t for r in rows) / sum(r.target for r in rows) - 1) < 0.03
