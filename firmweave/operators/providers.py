@@ -29,17 +29,6 @@ PROVIDER_FIELDS = {
     "news": ["news_articles"],
 }
 
-PROFILE_PATHS = {
-    "company_name": "$.name",
-    "company_description": "$.description",
-    "company_website": "$.url",
-    "linkedin_company_url": "$.linkedin.handle",
-    "employee_count": "$.metrics.employees",
-    "industry": "$.category.industry",
-    "founding_year": "$.foundedYear",
-    "funding_raised": "$.metrics.raised",
-}
-
 
 def _not_object(doc: Column, path: str) -> Column:
     """Present, but not an object."""
@@ -63,7 +52,7 @@ def _profile(doc: Column, input_name: Column) -> tuple[Column, dict[str, Column]
         .when(_not_object(doc, "$.category"), "category:not_an_object")
     )
     fields = {}
-    for field, path in PROFILE_PATHS.items():
+    for field, path in S.PROFILE_PATHS.items():
         value = V.at(doc, path)
         if field == "company_name":
             fields[field] = F.when(value.isNull(), input_name).otherwise(V.as_text(doc, path))
@@ -198,11 +187,11 @@ def _profile_issues(doc: Column, good: Column) -> Column:
     entries = [
         F.when(
             good
-            & V.raw_text(doc, PROFILE_PATHS[f]).isNotNull()
-            & V.as_whole_number(doc, PROFILE_PATHS[f]).isNull()
-            & ~V.is_hollow(V.at(doc, PROFILE_PATHS[f])),
+            & V.raw_text(doc, S.PROFILE_PATHS[f]).isNotNull()
+            & V.as_whole_number(doc, S.PROFILE_PATHS[f]).isNull()
+            & ~V.is_hollow(V.at(doc, S.PROFILE_PATHS[f])),
             F.struct(
-                F.lit(f).alias("field"), V.raw_text(doc, PROFILE_PATHS[f]).alias("original")
+                F.lit(f).alias("field"), V.raw_text(doc, S.PROFILE_PATHS[f]).alias("original")
             ),
         )
         for f in S.INT_FIELDS

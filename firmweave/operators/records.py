@@ -15,8 +15,6 @@ from firmweave.operators.keyed import latest_per_key
 from firmweave.operators.validation import check_page
 from firmweave.session import materialize
 
-PER_PAGE = 20
-
 
 def _newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("request_id").asc()]
@@ -53,7 +51,7 @@ def page(df: DataFrame, skip: int = 0, limit: int = 50, status: str | None = Non
     return _with_status(df, status).orderBy(*_newest_first()).offset(skip).limit(limit)
 
 
-def page_info(df: DataFrame, status: str | None = None, per_page: int = PER_PAGE) -> DataFrame:
+def page_info(df: DataFrame, status: str | None = None, per_page: int = S.PER_PAGE) -> DataFrame:
     """Q3: total under the same filter, and the number of pages (at least one)."""
     return _with_status(df, status).agg(F.count("*").alias("total")).withColumn(
         "total_pages",
@@ -61,7 +59,7 @@ def page_info(df: DataFrame, status: str | None = None, per_page: int = PER_PAGE
     )
 
 
-def page_skip(page_number: int, per_page: int = PER_PAGE) -> int:
+def page_skip(page_number: int, per_page: int = S.PER_PAGE) -> int:
     """Q3: rows before a page, pages counted from 1."""
     if page_number < 1:
         raise ValueError("page must be 1 or more")

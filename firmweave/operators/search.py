@@ -28,21 +28,12 @@ SLICE_CELLS = 4_000_000
 
 def content_summary(df: DataFrame) -> DataFrame:
     """Add ``content_summary`` built from the truthy fields."""
-    labelled = [
-        ("Company: ", "company_name"),
-        ("Industry: ", "industry"),
-        ("", "company_description"),
-        ("CEO: ", "ceo_name"),
-        ("Employees: ", "employee_count"),
-        ("Funding: ", "funding_raised"),
-        ("Founded: ", "founding_year"),
-    ]
     parts = [
         F.when(
             truthy(F.col(field), S.FIELD_TYPES[field]),
             F.concat(F.lit(label), F.col(field).cast("string")),
         )
-        for label, field in labelled
+        for label, field in S.SUMMARY_LABELS
     ]
     joined = F.concat_ws(" | ", *parts)
     return df.withColumn(

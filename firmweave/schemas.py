@@ -40,6 +40,29 @@ NO_SUMMARY_TEXT = "No enrichment data available"
 SKIP_REASON_TEXT = "No data gaps detected"
 UNKNOWN_COMPANY_TEXT = "Unknown"
 
+# label and field of each part of a content summary
+SUMMARY_LABELS = [
+    ("Company: ", "company_name"),
+    ("Industry: ", "industry"),
+    ("", "company_description"),
+    ("CEO: ", "ceo_name"),
+    ("Employees: ", "employee_count"),
+    ("Funding: ", "funding_raised"),
+    ("Founded: ", "founding_year"),
+]
+
+# where a profile payload holds each field
+PROFILE_PATHS = {
+    "company_name": "$.name",
+    "company_description": "$.description",
+    "company_website": "$.url",
+    "linkedin_company_url": "$.linkedin.handle",
+    "employee_count": "$.metrics.employees",
+    "industry": "$.category.industry",
+    "founding_year": "$.foundedYear",
+    "funding_raised": "$.metrics.raised",
+}
+
 MAX_ATTEMPTS = 3
 BACKOFF_MIN_SECONDS = 1
 BACKOFF_MAX_SECONDS = 10
@@ -51,6 +74,7 @@ CONFIG_VALUE_MAX = 512
 QUERY_TEXT_MAX = 1000
 SEARCH_LIMIT_MAX = 50
 LIST_LIMIT_MAX = 200
+PER_PAGE = 20
 TRACE_CHARS = 500
 
 NEWS_PAGE_SIZE = 5

@@ -87,7 +87,7 @@ def test_keyed(spark):
     changes = spark.createDataFrame([("b", "3", 1), ("b", "4", 2), ("c", "5", 1)],
                                     "setting_key string, setting_value string, seq int")
     as_set = lambda df: {(r.id, r.setting_key, r.setting_value) for r in df.collect()}
-    assert as_set(keyed.upsert(table, changes, ["setting_key"], ["seq"])) == {(1, "a", "1"), (2, "b", "4"), (None, "c", "5")}
+    assert as_set(keyed.upsert(table, changes, ["setting_key"], ["seq"])) == {(1, "a", "1"), (2, "b", "4"), (3, "c", "5")}
     kept, lost = keyed.update_existing(table, changes, ["setting_key"], ["seq"])
     assert as_set(kept) == {(1, "a", "1"), (2, "b", "4")} and [r.setting_key for r in lost.collect()] == ["c"]
     kept, lost = keyed.delete_keys(table, changes, ["setting_key"])
