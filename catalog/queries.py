@@ -713,7 +713,8 @@ def t4_usage_from_responses(spark, sf):
     fill = audit.usage_rows(
         V.responses(spark, sf).withColumn("created_at", now()), "offline-model", S.STEP_NAMES[3]
     )
-    return gate.unionByName(fill)
+    # the ids are hashes of the row
+    return gate.unionByName(fill).drop("id")
 
 
 # -- keyed updates ------------------------------------------------------------
