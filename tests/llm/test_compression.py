@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 import pytest
 import zstandard
@@ -61,6 +62,41 @@ def test_bands(text, kept):
     assert compression.in_bands(text.encode(), zstandard.ZstdCompressor(level=compression.LEVEL))[0] is kept
 
 
+def random_words(rng, size):
+    out = ""
+    while len(out) < size:
+        out += "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(4, 12))) + " "
+    return out[:size]
+
+
+def test_random_words_of_any_length_are_rejected():
+    squeeze = zstandard.ZstdCompressor(level=compression.LEVEL)
+    for size in (200, 256, 400, 512, 900, 1024, 1500, 4000, 4096, 6000, 8100, 40_000):
+        for seed in range(5):
+            text = random_words(random.Random(seed), size)
+            assert not compression.in_bands(text.encode(), squeeze)[0], (size, seed)
+
+
+def test_random_half_or_tail_is_rejected(spark):
+    squeeze = zstandard.ZstdCompressor(level=compression.LEVEL)
+    long = max((r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(
+        spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").collect()), key=len)
+    real, rng = long.encode()[:8192], random.Random(6)
+    assert compression.in_bands(real[:4096], squeeze)[0] and compression.in_bands(real, squeeze)[0]
+    for good, bad in ((4096, 4000), (2000, 2000), (8192, 4000), (4096, 2500)):
+        assert not compression.in_bands(real[:good] + random_words(rng, bad).encode(), squeeze)[0], (good, bad)
+
+
+def test_cuts_of_good_documents_stay(spark):
+    """The limits of each length hold for natural text of it."""
+    squeeze = zstandard.ZstdCompressor(level=compression.LEVEL)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    texts = [r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(labels, "doc_id").collect()]
+    for size in (150, 256, 400, 700, 1024, 1500, 3000, 4096, 5000, 8192):
+        cuts = [t[:size] for t in texts if len(t) >= size]
+        assert cuts and sum(compression.in_bands(c, squeeze)[0] for c in cuts) >= 0.99 * len(cuts), size
+
+
 def test_good_documents_stay(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
