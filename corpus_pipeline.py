@@ -29,7 +29,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"), least=None)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

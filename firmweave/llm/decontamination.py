@@ -13,14 +13,22 @@ lower-cased.
    document, item and diagonal (place in the document minus place in the item).
 4. The documents so found are read again, and each diagonal is verified on the
    words themselves: the best run of aligned words, +1 for equal and -2 for
-   different ones, must reach ``LEAST_SCORE``.
+   different ones, must reach the score asked for.
+
+By default that is ``LEAST_SCORE`` for all items.  With ``least=None``, as in the
+query and the pipeline, it depends on the item's length (``asked``): 40 % of its
+words, so that a fifth of them may be substituted, within 6 and ``LEAST_SCORE``.
+Items below 15 words then have five adjacent words as a further seed; items of 5 to
+8 words, shorter than the masks, must occur whole and unchanged, and those of 1 to
+4 words, which any text may hold, must be the document's only words.
 
 The bit table only saves work; all documents are searched whole.  No text is
 shuffled but that of documents with candidates (and, if these are too many to be
 sent to all tasks, the documents they are looked up in).
 
 Defined cases: missing text or id -> not searched, and kept by ``clean``; items
-without words, and items of fewer words than a mask's span -> never found; rows
+without words, and with a fixed score items of fewer words than a mask's span ->
+never found; rows
 that repeat an id share its candidates and are each verified; empty benchmark or
 documents -> no rows.
 """
@@ -34,8 +42,13 @@ from firmweave.llm.tables import materialize
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MASKS = ("1101101011", "11100110011", "110010111")
+#: a further seed of items below SHORT words, if the score depends on the length
+SHORT_MASK = "11111"
+SHORT = 15
+SPAN = min(map(len, MASKS))
 BITS = 20
 LEAST_SCORE = 10
+SHARE, LOWEST = 0.4, 6
 MISS = 2
 
 
@@ -49,9 +62,21 @@ def hashes_of(text: Column) -> Column:
 
 def _seed(words: Column, at: Column, mask: int) -> Column:
     """The seed of the window at ``at`` (from 0); null past the end."""
-    kept = [k for k, c in enumerate(MASKS[mask]) if c == "1"]
+    shape = (*MASKS, SHORT_MASK)[mask]
+    kept = [k for k, c in enumerate(shape) if c == "1"]
     seed = F.xxhash64(F.lit(mask), *[F.get(words, at + k) for k in kept])
-    return F.when(F.size(words) >= at + len(MASKS[mask]), seed)
+    return F.when(F.size(words) >= at + len(shape), seed)
+
+
+def _whole(words: Column) -> Column:
+    """The seed of all words of a text that is shorter than every mask."""
+    return F.xxhash64(F.lit(-2), words)
+
+
+def asked(n_words: Column) -> Column:
+    """The score asked for by an item's length."""
+    share = F.least(F.lit(LEAST_SCORE), F.greatest(F.lit(LOWEST), F.ceil(n_words * SHARE)))
+    return F.when(n_words < SPAN, n_words).otherwise(share)
 
 
 def _pair(words: Column, at: Column) -> Column:
@@ -66,7 +91,7 @@ def _bit(table: Column, value: Column) -> Column:
     return F.call_function("getbit", word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
+def item_seeds(benchmark: DataFrame, by_length: bool = False) -> DataFrame:
     """(item_id, n_words, at, pair, seed): a row per mask, and one without a seed."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").alias("item_id"), hashes_of(F.col("text").cast("string")).alias("w")
@@ -74,10 +99,22 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     places = items.where(F.size("w") > 1).select(
         "item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("at")
     )
-    seeds = F.array(*[_seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))])
-    return places.select(
+    seeds = [_seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))]
+    if by_length:
+        # items below the masks' span must match from their first word on
+        due = (F.size("w") < SHORT) & ((F.size("w") >= SPAN) | (F.col("at") == 0))
+        seeds.append(F.when(due, _seed(F.col("w"), F.col("at"), len(MASKS))))
+    found = places.select(
         "item_id", F.size("w").alias("n_words"), "at", _pair(F.col("w"), F.col("at")).alias("pair"),
-        F.explode(F.array_compact(seeds)).alias("seed"),
+        F.explode(F.array_compact(F.array(*seeds))).alias("seed"),
+    )
+    if not by_length:
+        return found
+    seed = _whole(F.col("w"))
+    return found.unionByName(
+        items.where(F.size("w").between(1, len(SHORT_MASK) - 1)).select(
+            "item_id", F.size("w").alias("n_words"), F.lit(0).alias("at"), seed.alias("pair"), seed.alias("seed")
+        )
     )
 
 
@@ -94,9 +131,9 @@ def bit_table(seeds: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
-def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, benchmark: DataFrame, by_length: bool = False) -> DataFrame:
     """(doc_id, item_id, n_words, diagonal) of every pair that shares a seed."""
-    seeds = materialize(item_seeds(benchmark), "seeds")
+    seeds = materialize(item_seeds(benchmark, by_length), "seeds")
     bits = bit_table(seeds)
     # evaluated once a row: the optimizer would copy them into each use, down to
     # the lambdas that run for each position
@@ -104,17 +141,22 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = with_once(
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), w=hashes_of(F.col("text").cast("string"))
     ).select("doc_id", "w")
+    tiny = F.size(w) < len(SHORT_MASK)
+    paired = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at)))
     places = with_once(
-        hashed.where(F.size(w) > 1),
-        places=F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at))),
+        hashed.where(F.size(w) > (0 if by_length else 1)),
+        places=F.when(tiny, F.array(F.lit(0))).otherwise(paired) if by_length else paired,
     ).select("doc_id", "w", "places")
+    masks = range(len(MASKS) + by_length)
     met = F.flatten(F.transform(
         "places",
         lambda at: F.filter(
-            F.array(*[F.struct(at.alias("at"), _seed(w, at, m).alias("seed")) for m in range(len(MASKS))]),
+            F.array(*[F.struct(at.alias("at"), _seed(w, at, m).alias("seed")) for m in masks]),
             lambda s: s["seed"].isNotNull() & _bit(bits, s["seed"]),
         ),
     ))
+    if by_length:
+        met = F.when(tiny, F.array(F.struct(F.lit(0).alias("at"), _whole(w).alias("seed")))).otherwise(met)
     hits = places.where(F.size("places") > 0).select("doc_id", F.explode(met).alias("hit"))
     hits = hits.select("doc_id", F.col("hit.at").alias("place"), F.col("hit.seed").alias("seed"))
     item = seeds.select(
@@ -139,20 +181,23 @@ def _best_run(a: Column, b: Column) -> Column:
     return F.aggregate(steps, start, step, lambda state: state["best"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """(doc_id, item_id, score) of documents that hold a passage of an item."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int | None = LEAST_SCORE) -> DataFrame:
+    """(doc_id, item_id, score) of documents that hold a passage of an item.
+
+    ``least`` is the score asked for; None asks by the item's length.
+    """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     )
-    found = materialize(candidates(plain, items), "seed-candidates")
+    found = materialize(candidates(plain, items, least is None), "seed-candidates")
     again = found.withColumnRenamed("doc_id", "found_id")
     aligned = with_once(
         plain.join(again, F.col("doc_id") == F.col("found_id")), w=hashes_of(F.col("text"))
     ).select(
-        "doc_id", "item_id", "diagonal",
+        "doc_id", "item_id", "n_words", "diagonal",
         F.slice("w", F.greatest(F.col("diagonal"), F.lit(0)) + 1,
                 F.col("n_words") + F.least(F.col("diagonal"), F.lit(0))).alias("own"),
     )
@@ -160,18 +205,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE) ->
         F.col("item_id").alias("words_id"), hashes_of(F.col("text")).alias("item_words")
     )
     scored = aligned.join(words, F.col("item_id") == F.col("words_id")).select(
-        "doc_id", "item_id",
+        "doc_id", "item_id", "n_words",
         _best_run(
             F.col("own"),
             F.slice("item_words", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("own")),
         ).alias("score"),
     )
-    return scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
+    enough = asked(F.col("n_words")) if least is None else F.lit(least)
+    return scored.where(F.col("score") >= enough).groupBy("doc_id", "item_id").agg(
         F.max("score").cast("long").alias("score")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int | None = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` without a passage of the benchmark."""
     leaking = materialize(
         overlaps(docs, benchmark, least).select(F.col("doc_id").alias("leaking_id")).distinct(),

@@ -45,7 +45,9 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontamination.overlaps(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least=None
+    )
 
 
 @query

@@ -92,3 +92,53 @@ def test_only_native_operators(spark):
     plan = d.overlaps(awkward(spark, rows), spark.createDataFrame([(*i, 1, 2) for i in items], BENCH))
     text = plan._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", text)
+
+
+def by_length(docs, bench):
+    return {(r.doc_id, r.item_id): r.score for r in d.overlaps(docs, bench, least=None).collect()}
+
+
+def test_recall_of_short_items_by_planted_truth(spark):
+    """Half of the vocabulary is new words, so a passage can only stem from its item."""
+    rng = random.Random(8)
+    items, rows, planted = [], [], {}
+    # words of the item, substitutions, least share to be found
+    cases = ((5, 0, 1), (8, 0, 1), (9, 0, 1), (9, 1, 0.7), (12, 1, 1), (15, 2, 0.95), (18, 3, 0.95), (20, 4, 0.9))
+    for n, misses, _ in cases:
+        for _ in range(40):
+            item = len(items)
+            base = [f"i{item}w{k}" if k % 2 else f"{rng.choice('abcd')}{rng.randrange(300)}" for k in range(n)]
+            items.append((item, " ".join(base)))
+            for k in rng.sample(range(n), misses):
+                base[k] = f"z{rng.randrange(999)}"
+            rows.append((1000 + item, f"{sentence(rng, 30)} {' '.join(base)} {sentence(rng, 20)}", "a"))
+            planted.setdefault((n, misses), set()).add((1000 + item, item))
+    docs = awkward(spark, rows)
+    bench = spark.createDataFrame([(*i, 1, 2) for i in items], BENCH)
+    found = by_length(docs, bench)
+    for n, misses, least in cases:
+        own = planted[n, misses]
+        assert len(own & found.keys()) >= least * len(own), (n, misses)
+    assert found.keys() <= set.union(*planted.values())
+    left = {r.doc_id for r in d.clean(docs, bench, least=None).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {doc for doc, _ in found}
+
+
+def test_items_below_the_masks(spark):
+    rng = random.Random(9)
+    items = [(1, "one"), (2, "Alpha beta, gamma"), (3, "five words in a row"), (4, ""), (5, "a b c d e f g h")]
+    rows = [
+        (400, "alpha BETA gamma!", "a"), (401, "alpha beta gamma delta", "a"), (402, f"{sentence(rng, 9)} five words in a row", "a"),
+        (403, "five words in a", "a"), (404, "one two", "a"), (405, "a b c d e f g", "a"), (406, "x a b c d e f g h", "a"),
+        (407, "b c d e f g h", "a"),
+    ]
+    bench = spark.createDataFrame([(*i, 1, 2) for i in items], BENCH)
+    assert by_length(awkward(spark, rows), bench) == {(4, 1): 1, (400, 2): 3, (402, 3): 5, (406, 5): 8}
+
+
+def test_by_length_finds_what_the_fixed_score_finds(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    fixed = {(r.doc_id, r.item_id): r.score for r in d.overlaps(docs, bench).collect()}
+    found = by_length(docs, bench)
+    assert fixed.items() <= found.items()
+    assert not re.search("Python|Arrow|Pandas", d.overlaps(docs, bench, least=None)._jdf.queryExecution().toString())
