@@ -486,6 +486,13 @@ _BODIES = {
         FROM (SELECT CAST(m.label AS BIGINT) AS query_id, vec_id AS id,
                 list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean) AS s
               FROM embeddings CROSS JOIN nearest_means m) scored) ranked WHERE rank <= 10""",
+    "x2_nearest_rows": """
+      SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS similarity FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 12), id) AS rank
+        FROM (SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id AS id,
+                list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s
+              FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) scored
+      ) ranked WHERE rank <= 10""",
     "x3_attach_vectors": """
       SELECT l.id AS lead_id, CAST(64 AS INTEGER) AS dim, e.vec_id IS NULL AS is_zero,
              round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) AS first_value

@@ -558,6 +558,14 @@ def x2_nearest_batch(spark, sf):
     )
 
 
+@query
+def x2_nearest_rows(spark, sf):
+    """Queries are the rows whose id is divisible by 50: they grow with the table."""
+    vectors = V.embeddings(spark, sf)
+    queries = vectors.where("id % 50 = 0").select(F.col("id").cast("bigint").alias("query_id"), "embedding")
+    return search.search_batch(vectors, queries, 10, dim=64).select("query_id", "id", "rank", "similarity")
+
+
 @query
 def x3_attach_vectors(spark, sf):
     leads = V.leads(spark, sf).select(F.col("id").alias("lead_id"))

@@ -64,6 +64,26 @@ def test_many_queries_in_chunks(spark):
         assert got == want
 
 
+def test_registered_search_of_every_fiftieth_row(spark, tmp_path):
+    from catalog.queries import QUERIES
+
+    # more queries than one chunk holds, on a grid of directions with known neighbours
+    count = 50 * 4100
+    cells = F.array(*[
+        F.when(F.pmod(F.floor(F.col("vec_id") / 50), F.lit(64)) == k, 1.0).otherwise(0.0) + F.pmod("vec_id", F.lit(50)) * 0.01
+        for k in range(64)
+    ])
+    made = spark.range(count).select(F.col("id").alias("vec_id"))
+    made.select("vec_id", cells.cast("array<float>").alias("embedding"), F.lit(0).alias("label")).write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    rows = QUERIES["x2_nearest_rows"](spark, str(tmp_path)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.id)
+    # equal vectors: ids that differ by a multiple of 50 * 64, the smallest first
+    assert got == {q: [q % 3200 + 3200 * n for n in range(10)] for q in range(0, count, 50)}
+
+
 def test_text_ids_and_no_queries(spark):
     vectors = {k: v for k, v in sample().items() if v is not None and len(v) == 6}
     df = table(spark, vectors).withColumn("id", F.format_string("%04d", "id"))
