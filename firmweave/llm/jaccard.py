@@ -474,14 +474,67 @@ def _across(members: DataFrame, placed: DataFrame, tried: DataFrame, percent: in
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component; documents without an id stay."""
-    joined = jaccard_join(docs, width, percent)
-    kept = materialize(
-        joined.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(),
-        "jaccard-kept",
+    """``docs`` with one document of each group of linked texts.
+
+    Groups are of texts, not of ids: rows that repeat a doc_id with unlike texts are
+    documents of their own, and all of them stay unless linked texts go.  Of a group
+    the smallest doc_id stays, then the smallest hash of a text; of rows equal in
+    both, the one whose other columns come first as JSON.  So the choice does not
+    depend on the order of the rows.  Documents without an id stay.
+    """
+    held = "`{}`".format
+    packed = docs.select(
+        F.struct(*[docs[held(c)] for c in docs.columns]).alias("doc"),
+        docs["doc_id"].cast("long").alias("id"),
+        docs["text"].cast("string").alias("body"),
+        F.to_json(
+            F.struct(*[docs[held(c)] for c in docs.columns if c not in ("doc_id", "text")])
+        ).alias("rest"),
+    ).withColumn("digest", F.coalesce(F.md5("body"), F.lit("")))
+    known = packed.where("id IS NOT NULL")
+    numbered = _numbered_texts(known.select("id", "digest"))
+    keyed = known.withColumn("key", F.col("id"))
+    if numbered is not None:
+        keyed = known.join(numbered, ["id", "digest"], "left").withColumn(
+            "key", F.coalesce("number", "id")
+        ).drop("number")
+    joined = jaccard_join(
+        keyed.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), width, percent
+    ).distinct().select(F.col("doc_id").alias("key"), F.col("component_id").alias("comp"))
+    if numbered is None:
+        kept = joined.where("key = comp").select("key")
+    else:
+        named = joined.join(
+            numbered.select(F.col("number").alias("key"), F.col("id"), F.col("digest")), "key", "left"
+        )
+        order = F.struct(
+            F.coalesce("id", "key").alias("id"), F.coalesce("digest", F.lit("")).alias("digest")
+        )
+        kept = named.groupBy("comp").agg(F.min_by("key", order).alias("key")).select("key")
+    kept = materialize(kept, "jaccard-kept")
+    once = (
+        keyed.join(kept, "key", "left_semi")
+        .groupBy("key").agg(F.min_by("doc", "rest").alias("doc")).select("doc")
+    )
+    return once.unionAll(packed.where("id IS NULL").select("doc")).select("doc.*")
+
+
+def _numbered_texts(texts: DataFrame) -> DataFrame | None:
+    """(id, digest, number) of all texts of an id but its first: ``number`` is unused as an id.
+
+    None where no id has several texts.  The numbers are written, so that a lost
+    executor cannot change them.  Ids may reach one end of the range of long, not both.
+    """
+    many = materialize(
+        texts.groupBy("id").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+        .where("first <> last").select("id", "first"),
+        "jaccard-many",
     )
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
-    one = packed.join(kept, F.col("doc.doc_id") == F.col("kept_id"), "left_semi")
-    none = packed.where(F.col("doc.doc_id").isNull())
-    once = one.groupBy(F.col("doc.doc_id").alias("id")).agg(F.first("doc").alias("doc")).select("doc")
-    return once.unionAll(none).select("doc.*")
+    if many.isEmpty():
+        return None
+    least, greatest = texts.agg(F.min("id"), F.max("id")).first()
+    place = F.monotonically_increasing_id()
+    # the ids above all others, or those below where ids reach the end of the range
+    number = F.lit(greatest) + 1 + place if greatest < 2**62 else F.lit(least) - 1 - place
+    others = texts.join(many, "id").where("digest <> first").select("id", "digest").distinct()
+    return materialize(others.withColumn("number", number), "jaccard-texts")

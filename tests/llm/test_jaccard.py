@@ -91,7 +91,31 @@ def test_awkward_rows(spark):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr)
-    assert ids == sorted([1, 2, 3, 4, 5, 6, 8, 9, None], key=repr)
+    assert ids == sorted([1, 2, 3, 4, 5, 6, 8, 9, 9, None], key=repr)
+
+
+def test_one_of_a_group_whatever_the_order(spark):
+    """An id with unlike texts keeps them all; equal rows keep one; the choice is fixed."""
+    rng = random.Random(5)
+    base, other, third = (sentence(rng, 60) for _ in range(3))
+    rows = [
+        (1, base, "a"), (1, other, "b"), (1, other, "a"),  # unlike texts; one of them twice
+        (2, edited(rng, other, 1), "a"),                   # goes: linked with 1's second text
+        (3, third, "a"), (3, edited(rng, third, 1), "b"),  # linked with each other
+        (4, "few words", "a"), (4, None, "a"), (4, "", "a"), (None, base, "a"), (None, base, "a"),
+        (2**63 - 1, edited(rng, base, 1), "c"),
+    ]
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1 + 2 * seed)
+        seen.add(tuple(collected(jaccard.keep_one(docs))))
+    (kept,) = seen
+    assert sorted((r[0], r[2]) for r in kept if r[0] is not None) == [
+        (1, "a"), (1, "a"), (3, kept[[r[0] for r in kept].index(3)][2]),
+        (4, "a"), (4, "a"), (4, "a")]
+    assert {r[1] for r in kept if r[0] == 1} == {base, other}
+    assert len([r for r in kept if r[0] is None]) == 2
 
 
 def test_given_documents(spark):
