@@ -91,3 +91,45 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT node, min(other) AS component_id FROM reached GROUP BY node) c ON c.node = d.doc_id
 """
+
+
+def _centroid_rounds(count: int, rounds: int, dim: int, seed: int) -> str:
+    """All distances measured in every round; the rounds are written one after the other."""
+    near = """
+, n{r} AS (
+  SELECT row, min(struct_pack(d := d, k := k)) AS b FROM (
+    SELECT v.row, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d
+    FROM v JOIN c{r} c USING (i) GROUP BY v.row, c.k) GROUP BY row
+)"""
+    update = """
+, c{s} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x) AS x
+  FROM c{r} c LEFT JOIN (
+    SELECT n.b.k AS k, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN n{r} n USING (row) GROUP BY 1, 2
+  ) m ON m.k = c.k AND m.i = c.i
+)"""
+    steps = "".join(near.format(r=r) + update.format(r=r, s=r + 1) for r in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding, row_number() OVER () AS row FROM embeddings
+  WHERE len(embedding) = {dim}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+), v AS MATERIALIZED (
+  SELECT row, i, floor(1024 * embedding[i]::DOUBLE)::HUGEINT AS x
+  FROM kept, range(1, {dim + 1}) AS t(i)
+), c0 AS MATERIALIZED (
+  SELECT k, i, x FROM v JOIN (
+    SELECT row, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), embedding) - 1 AS k
+    FROM kept WHERE vec_id IS NOT NULL QUALIFY k < {count}) USING (row)
+){steps}{near.format(r=rounds)}
+, shown AS (
+  SELECT k, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k
+)
+SELECT vec_id, n.b.k::INTEGER AS cluster, n.b.d::BIGINT AS distance,
+       (sum(n.b.d) OVER (PARTITION BY n.b.k))::BIGINT AS cluster_inertia,
+       (sum(n.b.d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM n{rounds} n JOIN kept USING (row) JOIN shown ON shown.k = n.b.k
+"""
+
+
+ORACLES["op11_centroid_search"] = _centroid_rounds(8, 10, 64, 3)

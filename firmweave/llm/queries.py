@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firmweave.llm import (
+    centroids,
     compression,
     decontamination,
     jaccard,
@@ -82,3 +83,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
