@@ -133,3 +133,79 @@ FROM n{rounds} n JOIN kept USING (row) JOIN shown ON shown.k = n.b.k
 
 
 ORACLES["op11_centroid_search"] = _centroid_rounds(8, 10, 64, 3)
+
+
+def _merkle(fanout: int, levels: int, top_levels: int) -> str:
+    """The levels are written one after the other; ``fanout`` ** ``levels`` leaves a group at most."""
+
+    def field(column: str) -> str:
+        return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def climb(name: str, count: int) -> str:
+        return "".join(f"""
+, {name}{k + 1} AS MATERIALIZED (
+  SELECT grp, idx // {fanout} AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h,
+         (max(n) + {fanout - 1}) // {fanout} AS n
+  FROM {name}{k} WHERE n > 1 GROUP BY grp, idx // {fanout}
+), {name}_by{k} AS (
+  SELECT a.grp, a.idx,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b
+    ON a.grp = b.grp AND a.idx // {fanout} = b.idx // {fanout} WHERE a.n > 1 GROUP BY a.grp, a.idx
+)""" for k in range(count))
+
+    def folded(name: str, count: int, start: str, place: str) -> str:
+        """Joins and folded expressions over the levels of a tree."""
+        return "".join(f"""
+, {start}{k + 1} AS (
+  SELECT p.* EXCLUDE (f, proof), CASE WHEN b.grp IS NULL THEN f ELSE sha256(l || f || r) END AS f,
+         CASE WHEN b.grp IS NULL THEN proof ELSE proof || l || r END AS proof
+  FROM {start}{k} p LEFT JOIN {name}_by{k} b
+    ON b.grp = p.{place.format('grp')} AND b.idx = p.{place.format('idx')} // {fanout ** k}
+)""" for k in range(count))
+
+    def union(name: str, count: int) -> str:
+        return " UNION ALL ".join(f"SELECT grp, h FROM {name}{k} WHERE n = 1" for k in range(count + 1))
+
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8
+), rows AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) AS crc,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+  FROM documents, crc
+), leaves AS (
+  SELECT coalesce('=' || lang, '') AS grp, doc_id, {leaf('text')} AS h,
+         CASE WHEN crc % 3 = 0 THEN {leaf('lowered')} END AS changed
+  FROM rows
+), n0 AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM leaves
+){climb('n', levels)}
+, subroots AS ({union('n', levels)}), t0 AS MATERIALIZED (
+  SELECT '' AS grp, grp AS name, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n
+  FROM subroots
+){climb('t', top_levels)}
+, tops AS ({union('t', top_levels)}), p0 AS (
+  SELECT n0.grp, n0.idx, doc_id, n0.h AS leaf, t0.h AS subroot, '' AS tgrp, t0.idx AS tidx,
+         coalesce(changed, n0.h) AS f, '' AS proof
+  FROM n0 JOIN t0 ON t0.name = n0.grp
+){folded('n', levels, 'p', '{}')}
+, q0 AS (SELECT * FROM p{levels}){folded('t', top_levels, 'q', 't{}')}
+SELECT doc_id, leaf, subroot, tops.h AS root, sha256(proof) AS proof_sha256,
+       f AS folded_root, f = tops.h AS verified
+FROM q{top_levels}, tops
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle(8, 6, 2)

@@ -12,6 +12,7 @@ from firmweave.llm import (
     decontamination,
     jaccard,
     licences,
+    merkle,
     mixing,
     quality,
     secrets,
@@ -88,3 +89,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents")).drop("lang", "path")
