@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from firmweave.llm.chat import CONTROLS, END, PLANTED, SEP, TRAINED_ROLE, TURN
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_mix_sources"] = r"""
@@ -209,3 +211,36 @@ FROM q{top_levels}, tops
 
 
 ORACLES["op12_merkle_manifest"] = _merkle(8, 6, 2)
+
+
+def _chat() -> str:
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for c in CONTROLS:
+            out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+        return out
+
+    marks = len(TURN + SEP + END)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}')
+), keyed AS (
+  SELECT *, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS digest,
+         length({escaped('role')}) + length({escaped('text')}) + {marks} AS size
+  FROM turns
+), whole AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sum(size)::BIGINT AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, digest) AS t,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, digest)
+                  FILTER (role = '{TRAINED_ROLE}'), '') AS learnt
+  FROM keyed GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(learnt)::BIGINT AS loss_chars,
+       sha256(learnt) AS loss_sha256, formatted_chars
+FROM whole
+"""
+
+
+ORACLES["op13_chat_prefix_tree"] = _chat()

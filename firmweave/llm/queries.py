@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firmweave.llm import (
     centroids,
+    chat,
     compression,
     decontamination,
     jaccard,
@@ -94,3 +95,13 @@ def op11_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents")).drop("lang", "path")
+
+
+@query
+def op13_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)],
+        "conv_id long, turn long, role string, text string",
+    )
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(given.unionByName(planted)))
