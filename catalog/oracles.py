@@ -805,4 +805,33 @@ _BODIES["q5_recent_of_completed"] = f"""
       FROM outcome JOIN ({_BODIES["s1_intake"]}) intake USING (request_id)
       ORDER BY outcome.created_at DESC, request_id LIMIT 10"""
 
+_DONE = "CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END"
+_GIVEN_NAME = """CASE WHEN json_valid(raw_input) THEN json_extract_string(raw_input, '$.company_name') END"""
+CTES["streamed_leads"] = f"""
+      SELECT request_id, {_GIVEN_NAME} AS company_name, {_DONE} AS status, outcome.created_at AS created_at
+      FROM outcome JOIN ({_BODIES["s1_intake"]}) intake USING (request_id)"""
+_BODIES["r3s_runs_of_stream"] = """
+      SELECT request_id, r.company_name, r.status AS lead_status,
+             count(*) OVER (PARTITION BY request_id) AS step_count, step_name, l.status AS log_status,
+             true AS has_id
+      FROM (SELECT * FROM streamed_leads ORDER BY created_at DESC, request_id LIMIT 50) r
+      JOIN log_rows l USING (request_id)"""
+_BODIES["r3s_detail_of_stream"] = f"""
+      SELECT request_id, 'lead' AS kind, company_name AS name, status, CAST(NULL AS BIGINT) AS total_tokens,
+             CAST(NULL AS BIGINT) AS bearers FROM streamed_leads
+      UNION ALL SELECT request_id, 'log', step_name, status, NULL, 1 FROM log_rows
+      UNION ALL SELECT request_id, 'usage', step_name, NULL, input_tokens + output_tokens, 1
+             FROM ({_BODIES["e1_usage"]})"""
+_BODIES["r3s_usage_of_stream"] = f"""
+      SELECT CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS total_input_tokens,
+             CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output_tokens,
+             CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS total_tokens,
+             count(DISTINCT request_id) AS total_requests FROM ({_BODIES["e1_usage"]})"""
+_BODIES["r3s_nearest_of_stream"] = f"""
+      SELECT lead_id, content_summary, round(s, 4) AS similarity
+      FROM (SELECT lead_id, content_summary, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+              (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s
+            FROM ({_BODIES["x4_embedding_never_fails"]}) JOIN embeddings ON lead_id = vec_id)
+      ORDER BY round(1 - s, 12), lead_id LIMIT 10"""
+
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}

@@ -872,15 +872,26 @@ def r2s_stream_dedup(spark, sf):
     return _ntz(spark.read.parquet(out).drop("batch_id"))
 
 
-@query
-def r3s_stream_enrich(spark, sf):
+def _enriched(spark, sf, requests: DataFrame) -> str:
+    """Where a stream of requests has left its outputs; each waits for all its payloads."""
     out = scratch_dir(spark, "r3s")
     roles = V.payloads(spark, sf)
     readers = {role: (lambda role=role: V.payloads(spark, sf)[role]) for role in roles}
-    _finish(stream_requests.stream_enrich(
-        _request_stream(spark, sf), readers, out, f"{out}-state",
-        lambda: V.verdicts(spark, sf), lambda: V.responses(spark, sf), available_now=True,
+    enricher = stream_requests.Enricher(
+        readers, out, lambda: V.verdicts(spark, sf), lambda: V.responses(spark, sf),
+        lambda: V.embeddings(spark, sf).select("lead_id", "embedding"),
+        expected=list(roles), patience="30 days", dim=64,
+    )
+    _finish(stream_requests.start_batches(
+        requests, enricher.batch, f"{out}-state", available_now=True
     ))
+    enricher.drain(spark)
+    return out
+
+
+@query
+def r3s_stream_enrich(spark, sf):
+    out = _enriched(spark, sf, _request_stream(spark, sf))
     return stream_requests.read_current(spark, out).select(
         "request_id", "status", "enriched_data.company_name", "enriched_data.industry",
         joined("enriched_data.api_sources").alias("api_sources"),
@@ -888,6 +899,51 @@ def r3s_stream_enrich(spark, sf):
     )
 
 
+def _streamed(spark, sf) -> dict[str, DataFrame]:
+    """The tables that streaming all requests has written, as the batch queries read them."""
+    out = _enriched(spark, sf, V.requests(spark, sf, _stream(spark, sf, "orders")))
+    return {
+        kind: stream_requests.read_current(spark, out, kind=kind)
+        for kind in ("leads", "logs", "usage", "embeddings")
+    }
+
+
+@query
+def r3s_runs_of_stream(spark, sf):
+    """Q6 on what the stream wrote; times of writing differ between runs."""
+    tables = _streamed(spark, sf)
+    return records.runs(tables["leads"], tables["logs"], 50).select(
+        "request_id", "company_name", "lead_status", "step_count", "step_name", "log_status",
+        F.col("log_id").isNotNull().alias("has_id"),
+    )
+
+
+@query
+def r3s_detail_of_stream(spark, sf):
+    """Q7 on what the stream wrote, with the number of rows that bear each id."""
+    tables = _streamed(spark, sf)
+    rows = records.detail(tables["leads"], tables["logs"], tables["usage"])
+    ids = rows.where("kind <> 'lead'").groupBy("kind", "id").agg(F.count("*").alias("bearers"))
+    return rows.join(ids, ["kind", "id"], "left").select(
+        "request_id", "kind", "name", "status", "total_tokens", "bearers"
+    )
+
+
+@query
+def r3s_usage_of_stream(spark, sf):
+    """T2 on what the stream wrote."""
+    return audit.usage_summary(_streamed(spark, sf)["usage"])
+
+
+@query
+def r3s_nearest_of_stream(spark, sf):
+    """X1 on what the stream wrote."""
+    asked = V.embeddings(spark, sf).filter("id = 0").select("embedding").first()["embedding"]
+    return search.search(_streamed(spark, sf)["embeddings"], asked, 10).select(
+        "lead_id", "content_summary", "similarity"
+    )
+
+
 def _step_stream(spark, sf) -> DataFrame:
     return V.step_events_of(_stream(spark, sf, "events"))
 
@@ -904,12 +960,10 @@ def r4s_stream_status(spark, sf):
 @query
 def r5s_stream_monitor(spark, sf):
     out = scratch_dir(spark, "r5s")
-    _finish(stream_requests.start_batches(
-        stream_status.stream_monitor(_step_stream(spark, sf)),
-        lambda df, i: stream_requests.write_batch(df, out, i),
-        f"{out}-state", available_now=True,
+    _finish(stream_status.stream_monitor(
+        _step_stream(spark, sf), out, f"{out}-state", available_now=True
     ))
-    return _ntz(spark.read.parquet(out).drop("batch_id"))
+    return _ntz(spark.read.parquet(f"{out}/messages").drop("batch_id"))
 
 
 @query

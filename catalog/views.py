@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _orders_with_customer(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+def _orders_with_customer(
+    spark: SparkSession, sf: str, orders: DataFrame | None = None
+) -> DataFrame:
+    """``orders``, the table's rows or a stream of them, each with its customer."""
+    orders = table(spark, sf, "orders") if orders is None else orders
+    customer = table(spark, sf, "customer")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
 
 
@@ -47,7 +51,7 @@ def leads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
     raw = f"""
       CASE o_orderkey % 23
         WHEN 1 THEN '{{"company_domain": "a.example.com"}}'
@@ -69,7 +73,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         ELSE concat('{{"company_name": "', c_name, '"', coalesce(concat(
                ', "company_domain": "', {DOMAIN}, '"'), ''), '}}')
       END"""
-    return _orders_with_customer(spark, sf).selectExpr(
+    return _orders_with_customer(spark, sf, orders).selectExpr(
         "o_orderkey AS request_id", f"{raw} AS raw_input", "o_orderdate AS created_at"
     )
 

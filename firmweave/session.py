@@ -64,10 +64,16 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder, in whatever store it lies."""
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a folder, in whatever store it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder."""
+    files, target = file_system(spark, path)
+    files.delete(target, True)
 
 
 @contextmanager

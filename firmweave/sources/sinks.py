@@ -39,28 +39,41 @@ def intake(
     ).withColumn("id", F.col("request_id"))
 
 
-def with_id(df: DataFrame, *parts: str) -> DataFrame:
-    """Rows with an integer ``id``: their own, or a hash of what identifies them.
+def with_id(df: DataFrame, *parts: str, run: int | str | None = None) -> DataFrame:
+    """Rows with an integer ``id``: their own, or a hash of their run and what identifies them.
 
-    A hash gives a re-run the same ids without a counter that all tasks share.
+    A hash needs no counter that all tasks share.  ``run`` names the write, so that the
+    same step of a later run gets another id, and a run that is written again, in place
+    of its first attempt, the same ones.
     """
     if "id" in df.columns:
         return df
-    return df.withColumn("id", F.xxhash64(*parts))
+    named = [] if run is None else [F.lit(str(run))]
+    return df.withColumn("id", F.xxhash64(*named, *parts))
 
 
-def log_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
+def log_rows(
+    df: DataFrame, now: Column | None = None, run: int | str | None = None
+) -> DataFrame:
     """S3: step-log rows stamped with the time of writing.
 
     ``seq`` is the place of a row within its run; rows that were written together
-    share their time and are ordered by it.
+    share their time and are ordered by it.  Rows without one are told apart by their
+    place in the write.  Without ``run`` the time of writing stands for it in the ids.
     """
-    if "seq" not in df.columns:
-        df = df.withColumn("seq", F.lit(None).cast("int"))
-    df = with_id(df, "request_id", "seq", "step_name", "status")
     stamped = df if now is None else df.withColumn("timestamp", now)
     if "timestamp" not in stamped.columns:
         stamped = stamped.withColumn("timestamp", F.current_timestamp())
+    if "seq" not in stamped.columns:
+        stamped = stamped.withColumn("seq", F.lit(None).cast("int"))
+    if "id" not in stamped.columns:
+        stamped = with_id(
+            stamped.withColumn(
+                "_place", F.coalesce(F.col("seq").cast("long"), -1 - F.monotonically_increasing_id())
+            ),
+            "request_id", "_place", "step_name", "status", *([] if run is not None else ["timestamp"]),
+            run=run,
+        )
     return stamped.select(
         "id", "request_id", "seq", "step_name", "status", "payload", "timestamp"
     )
@@ -70,11 +83,14 @@ def append_logs(df: DataFrame, path: str, now: Column | None = None) -> None:
     append(log_rows(df, now), path)
 
 
-def usage_ledger_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
+def usage_ledger_rows(
+    df: DataFrame, now: Column | None = None, run: int | str | None = None
+) -> DataFrame:
     """Ledger rows; the total is fixed when written."""
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.current_timestamp() if now is None else now)
-    df = with_id(df, "request_id", "step_name", "created_at")
+    parts = ["request_id", "step_name", *([] if run is not None else ["created_at"])]
+    df = with_id(df, *parts, run=run)
     return df.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")).select(
         "id", "request_id", "model_name", "input_tokens", "output_tokens", "total_tokens",
         "step_name", "created_at",
@@ -92,8 +108,9 @@ def append_embeddings(df: DataFrame, path: str, now: Column | None = None) -> No
     append(embedding_rows(df), path)
 
 
-def embedding_rows(df: DataFrame) -> DataFrame:
-    df = with_id(df, "lead_id", "content_summary", "created_at")
+def embedding_rows(df: DataFrame, run: int | str | None = None) -> DataFrame:
+    parts = ["lead_id", "content_summary", *([] if run is not None else ["created_at"])]
+    df = with_id(df, *parts, run=run)
     return df.select("id", "lead_id", "embedding", "content_summary", "created_at")
 
 
