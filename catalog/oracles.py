@@ -805,6 +805,7 @@ _BODIES["q5_recent_of_completed"] = f"""
       FROM outcome JOIN ({_BODIES["s1_intake"]}) intake USING (request_id)
       ORDER BY outcome.created_at DESC, request_id LIMIT 10"""
 
+_BODIES["x2_pruned_rows"] = _BODIES["x2_nearest_rows"]
 _DONE = "CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END"
 _GIVEN_NAME = """CASE WHEN json_valid(raw_input) THEN json_extract_string(raw_input, '$.company_name') END"""
 CTES["streamed_leads"] = f"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalog import views as V
 from firmweave import schemas as S
 from firmweave.functions.display import percent
-from firmweave.operators import audit, keyed, merging, providers, records, search, validation
+from firmweave.operators import audit, keyed, merging, pivots, providers, records, search, validation
 from firmweave.plans import completion
 from firmweave.session import materialize, scratch_dir
 from firmweave.sources import payloads as payload_source, sinks
@@ -566,6 +566,17 @@ def x2_nearest_rows(spark, sf):
     return search.search_batch(vectors, queries, 10, dim=64).select("query_id", "id", "rank", "similarity")
 
 
+@query
+def x2_pruned_rows(spark, sf):
+    """The same search through a pivot index, which skips blocks that hold none of the nearest."""
+    vectors = V.embeddings(spark, sf)
+    path = scratch_dir(spark, "index")
+    pivots.build_index(vectors, path, dim=64)
+    queries = vectors.where("id % 50 = 0").select(F.col("id").cast("bigint").alias("query_id"), "embedding")
+    found, _ = pivots.PivotIndex.load(spark, path, dim=64).search_batch(queries, 10)
+    return found.select("query_id", "id", "rank", "similarity")
+
+
 @query
 def x3_attach_vectors(spark, sf):
     leads = V.leads(spark, sf).select(F.col("id").alias("lead_id"))

@@ -133,16 +133,27 @@ def _score_batches(
             ids = ids.astype(str)
         for start in range(0, len(usable), step):
             distance = _distances(rows[start:start + step], queries)
-            width = distance.shape[1]
-            # rows no worse than the k-th of this slice, ties included
-            bound = np.partition(distance, min(k, width) - 1, axis=1)[:, min(k, width) - 1]
-            q, at = np.nonzero(distance <= bound[:, None])
-            near = (q, distance[q, at], ids[start:start + step][at])
+            near = nearest_of(distance, ids[start:start + step], k)
             if best is not None:
                 near = tuple(np.concatenate(pair) for pair in zip(best, near))
             best = _smallest(*near, k)
-    if best is None:
-        return
+    if best is not None:
+        yield from candidate_batches(best, query_ids, id_type)
+
+
+def nearest_of(
+    distance: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, distance, id) of the rows no worse than each query's k-th, ties included."""
+    width = distance.shape[1]
+    bound = np.partition(distance, min(k, width) - 1, axis=1)[:, min(k, width) - 1]
+    q, at = np.nonzero(distance <= bound[:, None])
+    return q, distance[q, at], ids[at]
+
+
+def candidate_batches(
+    best: tuple[np.ndarray, np.ndarray, np.ndarray], query_ids: np.ndarray, id_type: pa.DataType
+) -> Iterator[pa.RecordBatch]:
     q, distance, ids = best
     for start in range(0, len(q), 10_000):
         part = slice(start, start + 10_000)
