@@ -805,6 +805,27 @@ _BODIES["q5_recent_of_completed"] = f"""
       FROM outcome JOIN ({_BODIES["s1_intake"]}) intake USING (request_id)
       ORDER BY outcome.created_at DESC, request_id LIMIT 10"""
 
+_BODIES["a3_step_runs"] = """
+      SELECT request_id, step_name, CAST(run AS BIGINT) AS run, started_at, ended_at, status,
+             round((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0, 3) AS seconds FROM (
+        SELECT request_id, step_name, run, min(timestamp) FILTER (status = 'started') AS started_at,
+               max(timestamp) FILTER (status <> 'started') AS ended_at,
+               arg_max(status, (timestamp, id)) AS status
+        FROM (
+          SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY request_id, step_name ORDER BY timestamp, id) AS run
+          FROM (
+            SELECT *, status = 'started' OR coalesce(lag(status) OVER (
+                     PARTITION BY request_id, step_name ORDER BY timestamp, id), 'none') <> 'started' AS opens
+            FROM step_events))
+        GROUP BY request_id, step_name, run)"""
+_BODIES["q2_deep_page"] = """
+      SELECT part, request_id, company_name, status, created_at FROM (
+        SELECT 'middle' AS part, *, row_number() OVER (ORDER BY created_at DESC, request_id) AS place,
+               count(*) OVER () // 2 AS before, 200 AS rows FROM leads
+        UNION ALL
+        SELECT 'completed', *, row_number() OVER (ORDER BY created_at DESC, request_id),
+               count(*) OVER () * 3 // 4, 50 FROM leads WHERE status = 'completed')
+      WHERE place > before AND place <= before + rows"""
 _BODIES["x2_pruned_rows"] = _BODIES["x2_nearest_rows"]
 _DONE = "CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END"
 _GIVEN_NAME = """CASE WHEN json_valid(raw_input) THEN json_extract_string(raw_input, '$.company_name') END"""

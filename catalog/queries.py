@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalog import views as V
 from firmweave import schemas as S
 from firmweave.functions.display import percent
-from firmweave.operators import audit, keyed, merging, pivots, providers, records, search, validation
+from firmweave.operators import (
+    audit, keyed, merging, paging, pivots, providers, records, search, validation,
+)
 from firmweave.plans import completion
 from firmweave.session import materialize, scratch_dir
 from firmweave.sources import payloads as payload_source, sinks
@@ -637,6 +639,16 @@ def q2_page(spark, sf):
     return tagged("first", first).unionByName(tagged("completed", deep))
 
 
+@query
+def q2_deep_page(spark, sf):
+    """Pages half and three quarters down the list, found by counting."""
+    pages = paging.count_pages(V.leads(spark, sf), held=100)
+    columns = ["request_id", "company_name", "status", "created_at"]
+    middle = pages.page(pages.info()[0] // 2, 200).select(*columns)
+    done = pages.page(pages.info("completed")[0] * 3 // 4, 50, "completed").select(*columns)
+    return tagged("middle", middle).unionByName(tagged("completed", done))
+
+
 @query
 def q3_page_info(spark, sf):
     leads = V.leads(spark, sf)
@@ -703,6 +715,11 @@ def a3_step_spans(spark, sf):
     return audit.step_spans(V.step_events(spark, sf)).withColumn("seconds", F.round("seconds", 3))
 
 
+@query
+def a3_step_runs(spark, sf):
+    return audit.step_runs(V.step_events(spark, sf)).withColumn("seconds", F.round("seconds", 3))
+
+
 @query
 def a4_latest_step(spark, sf):
     return audit.latest_step(V.step_events(spark, sf))

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from firmweave import schemas as S
+from firmweave.functions.blocks import ahead, dealt, join_ahead, running_sum, within
 from firmweave.operators.records import lookup_many
 from firmweave.session import materialize
 from firmweave.sources.sinks import usage_ledger_rows
 
+#: statuses that end a step
+ENDS = ("success", "failed", "skipped")
+
 
 def logs_for(logs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """A1: logs of the asked requests, oldest first, each with the request's total.
@@ -54,12 +58,15 @@ def step_spans(logs: DataFrame) -> DataFrame:
     A skipped step has no start, a running one no end.  Log times are taken at
     the start of the writing transaction, so durations are lower bounds.
     """
+    return _spans(logs, ["request_id", "step_name"], log_order(logs))
+
+
+def _spans(logs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ts = F.col("timestamp")
-    ended = F.col("status").isin("success", "failed", "skipped")
-    spans = logs.groupBy("request_id", "step_name").agg(
+    spans = logs.groupBy(*keys).agg(
         F.min(F.when(F.col("status") == "started", ts)).alias("started_at"),
-        F.max(F.when(ended, ts)).alias("ended_at"),
-        F.max_by("status", F.struct(*log_order(logs))).alias("status"),
+        F.max(F.when(F.col("status").isin(*ENDS), ts)).alias("ended_at"),
+        F.max_by("status", F.struct(*order)).alias("status"),
     )
     seconds = F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(
         F.col("started_at").cast("timestamp")
@@ -67,6 +74,31 @@ def step_spans(logs: DataFrame) -> DataFrame:
     return spans.withColumn("seconds", seconds / 1_000_000)
 
 
+def step_runs(logs: DataFrame) -> DataFrame:
+    """A3 by runs: a span for each time a step was run, so that each start has its own end.
+
+    A span opens at a ``started`` row and at the first row after a span has ended; it ends
+    with success, failed or skipped.  One that started again without an end stays
+    without one.  Spans are numbered by a running count that splits a hot step over
+    tasks (``functions.blocks``), then folded on the map side.
+    """
+    keys, order = ["request_id", "step_name"], log_order(logs)
+    rows = materialize(dealt(logs.select(*keys, "status", *order), keys, order), "steps")
+    rows = join_ahead(rows, ahead(rows, keys, max_row=F.max(F.struct(*order, "status"))), keys)
+    before = F.coalesce(
+        F.lag(F.struct("status")).over(within(keys, order)),
+        F.when(F.col("max_row").isNotNull(), F.struct(F.col("max_row.status").alias("status"))),
+    )
+    rows = rows.withColumn("_before", before).drop("max_row")
+    opens = (
+        (F.col("status") == "started") | F.col("_before").isNull() | F.col("_before.status").isin(*ENDS)
+    )
+    rows = rows.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("long"))
+    rows = running_sum(rows, keys, order, "_ahead", F.col("_opens"))
+    numbered = rows.withColumn("run", F.col("_ahead") + F.col("_opens"))
+    return _spans(numbered, [*keys, "run"], order)
+
+
 def latest_step(logs: DataFrame) -> DataFrame:
     """A4: the newest step message of each request."""
     newest = F.max_by(

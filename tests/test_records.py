@@ -103,3 +103,37 @@ def test_display(spark):
     assert one.select(D.percent(F.lit(0.1234))).first()[0] == "12.3%"
     assert one.select(D.with_thousands(F.lit(1234567))).first()[0] == "1,234,567"
     assert one.select(D.status_group(F.lit("odd"))).first()[0] == "pending"
+
+
+def test_each_start_has_its_own_end(spark):
+    """A step that runs again gives a span of its own; a third of all rows are one step's."""
+    gate, skip = "evaluate_intelligence_gate", "spawn_fallback_agent"
+
+    def at(seconds):
+        return dt(2024, 1, 1, 0, seconds // 60, seconds % 60)
+
+    rows = [
+        (1, "r0", gate, "started", None, at(0)), (2, "r0", gate, "success", None, at(5)),
+        (3, "r0", gate, "started", None, at(60)), (4, "r0", gate, "failed", None, at(62)),
+        (5, "r1", skip, "skipped", None, at(1)), (6, "r1", skip, "skipped", None, at(2)),
+        (7, "r1", gate, "started", None, at(3)), (8, "r1", gate, "started", None, at(4)), (9, "r1", gate, "success", None, at(9)),
+        (10, "r2", gate, "success", None, at(3)), (11, "r2", gate, None, None, at(4)), (12, "r2", gate, "started", None, at(5)),
+    ]
+    rows += [(100 + k, "hot", gate, ["started", "success"][k % 2], None, at(k)) for k in range(600)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    for how in ("true", "false"):  # one block, several blocks
+        spark.conf.set(coalesce, how)
+        try:
+            spans = audit.step_runs(spark.createDataFrame(rows, LOGS).repartition(5)).collect()
+        finally:
+            spark.conf.set(coalesce, "true")
+        shown = {(r.request_id, r.step_name, r.run): (r.started_at, r.ended_at, r.status) for r in spans}
+        hot = {k[2]: v for k, v in shown.items() if k[0] == "hot"}
+        assert hot == {k + 1: (at(2 * k), at(2 * k + 1), "success") for k in range(300)}
+        assert {k: v for k, v in shown.items() if k[0] != "hot"} == {
+            ("r0", gate, 1): (at(0), at(5), "success"), ("r0", gate, 2): (at(60), at(62), "failed"),
+            ("r1", skip, 1): (None, at(1), "skipped"), ("r1", skip, 2): (None, at(2), "skipped"),
+            ("r1", gate, 1): (at(3), None, "started"), ("r1", gate, 2): (at(4), at(9), "success"),
+            ("r2", gate, 1): (None, at(3), "success"), ("r2", gate, 2): (None, None, None),
+            ("r2", gate, 3): (at(5), None, "started")}
+        assert {r.seconds for r in spans if r.request_id == "r0"} == {5.0, 2.0}
