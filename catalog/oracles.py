@@ -818,6 +818,11 @@ _BODIES["a3_step_runs"] = """
                      PARTITION BY request_id, step_name ORDER BY timestamp, id), 'none') <> 'started' AS opens
             FROM step_events))
         GROUP BY request_id, step_name, run)"""
+_BODIES["c2_upsert_in_folders"] = _BODIES["c2_upsert"]
+_BODIES["t2_from_daily_partials"] = _BODIES["t2_token_summary"]
+_BODIES["s3_repeated_runs"] = """
+      SELECT request_id, 2 * count(*) AS rows, 2 * count(*) AS ids FROM logs GROUP BY request_id"""
+_BODIES["e1_changed_only"] = _BODIES["e1_complete_records"]
 _BODIES["q2_deep_page"] = """
       SELECT part, request_id, company_name, status, created_at FROM (
         SELECT 'middle' AS part, *, row_number() OVER (ORDER BY created_at DESC, request_id) AS place,

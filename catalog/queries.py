@@ -15,9 +15,9 @@ from firmweave.functions.display import percent
 from firmweave.operators import (
     audit, keyed, merging, paging, pivots, providers, records, search, validation,
 )
-from firmweave.plans import completion
+from firmweave.plans import changes, completion
 from firmweave.session import materialize, scratch_dir
-from firmweave.sources import payloads as payload_source, sinks
+from firmweave.sources import folders, payloads as payload_source, sinks
 from firmweave.streaming import requests as stream_requests, status as stream_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,18 @@ def s3_log_sink(spark, sf):
     return spark.read.parquet(path).drop("seq")
 
 
+@query
+def s3_repeated_runs(spark, sf):
+    """Two runs write the same steps, the second one twice; no row doubles and no id repeats."""
+    path = scratch_dir(spark, "s3")
+    steps = V.logs(spark, sf).drop("id")
+    for run in (1, 2, 2):
+        sinks.append_logs(steps, path, run=run)
+    return spark.read.parquet(path).groupBy("request_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("id").alias("ids")
+    )
+
+
 @query
 def s4_usage_sink(spark, sf):
     path = scratch_dir(spark, "s4")
@@ -447,7 +459,10 @@ def trace(spark, sf) -> DataFrame:
 
 
 def completed_leads(spark, sf) -> DataFrame:
-    leads = completion.leads_of(trace(spark, sf), now=now())
+    return shown_leads(completion.leads_of(trace(spark, sf), now=now()))
+
+
+def shown_leads(leads: DataFrame) -> DataFrame:
     return leads.select(
         "request_id", "status", *record_columns("enriched_data"),
         F.round("enriched_data.confidence_score", 4).alias("confidence_score"),
@@ -502,6 +517,20 @@ def e1_usage(spark, sf):
     )
 
 
+@query
+def e1_changed_only(spark, sf):
+    """Two runs: the second one runs only the tenth of the requests whose profile has changed."""
+    out, asked = scratch_dir(spark, "changes"), V.requests(spark, sf)
+    given = V.payloads(spark, sf)
+    stale = {**given, "profile": given["profile"].withColumn(
+        "body", F.when(F.col("request_id") % 10 != 0, F.col("body"))
+    )}
+    for run, payloads in enumerate((stale, given)):
+        enricher = stream_requests.Enricher(payloads, out, V.verdicts(spark, sf), V.responses(spark, sf))
+        changes.complete_changed(asked, enricher, run)
+    return shown_leads(changes.read_completed(spark, out))
+
+
 @query
 def e1_embeddings(spark, sf):
     vectors = V.embeddings(spark, sf).select("lead_id", "embedding")
@@ -736,6 +765,13 @@ def t2_token_summary(spark, sf):
     return audit.usage_summary(V.usage(spark, sf))
 
 
+@query
+def t2_from_daily_partials(spark, sf):
+    """The same totals, merged from what each day has left."""
+    tokens = V.usage(spark, sf).withColumn("day", F.to_date("created_at"))
+    return audit.usage_total(audit.usage_partials(tokens, "day"))
+
+
 @query
 def t3_recent_usage(spark, sf):
     return audit.recent_usage(V.usage(spark, sf))
@@ -807,6 +843,15 @@ def c2_upsert(spark, sf):
     )
 
 
+@query
+def c2_upsert_in_folders(spark, sf):
+    """The same upsert on a table in hash folders."""
+    path = scratch_dir(spark, "c2")
+    table = folders.FolderTable.create(V.config(spark, sf), path, ["setting_key"], folders=16)
+    table.upsert(V.config_changes(spark, sf), ["changed_at", "seq"])
+    return table.read()
+
+
 @query
 def c3_update_existing(spark, sf):
     table, lost = keyed.update_existing(
@@ -982,7 +1027,7 @@ def r4s_stream_status(spark, sf):
     _finish(stream_status.stream_status(
         _step_stream(spark, sf), out, f"{out}-state", available_now=True
     ))
-    return _ntz(stream_status.newest_versions(spark.read.parquet(out)))
+    return _ntz(stream_status.current_status(spark, out))
 
 
 @query
@@ -1007,4 +1052,4 @@ def r6s_stream_usage_totals(spark, sf):
     out = scratch_dir(spark, "r6t")
     tokens = V.usage_of(_stream(spark, sf, "conversations"))
     _finish(stream_status.stream_usage_totals(tokens, out, f"{out}-state", available_now=True))
-    return stream_status.usage_totals(spark.read.parquet(out))
+    return stream_status.usage_totals(spark, out)

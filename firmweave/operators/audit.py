@@ -128,6 +128,36 @@ def usage_summary(tokens: DataFrame) -> DataFrame:
     )
 
 
+TOKENS = ("input_tokens", "output_tokens", "total_tokens")
+
+
+def usage_partials(tokens: DataFrame, *by: str) -> DataFrame:
+    """T2 in parts that merge exactly: token sums and a bitmap of the requests' numbers.
+
+    A row per ``by`` (say, the day) and 32,768 consecutive numbers.  ``request_id`` must be
+    a dense number: each row holds a bitmap of 4 KB.  Rows without an id count in the sums.
+    """
+    number = F.col("request_id").cast("bigint")
+    return tokens.groupBy(*by, F.bitmap_bucket_number(number).alias("bucket")).agg(
+        *[F.sum(F.col(c).cast("bigint")).alias(c) for c in TOKENS],
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("requests"),
+    )
+
+
+def usage_total(partials: DataFrame) -> DataFrame:
+    """``usage_summary`` of all rows that the partials stand for."""
+    merged = partials.groupBy("bucket").agg(
+        *[F.sum(c).alias(c) for c in TOKENS], F.bitmap_or_agg("requests").alias("requests")
+    )
+    return merged.agg(
+        *[
+            F.coalesce(F.sum(c), F.lit(0)).alias(c if c.startswith("total") else f"total_{c}")
+            for c in TOKENS
+        ],
+        F.coalesce(F.sum(F.bitmap_count("requests")), F.lit(0)).alias("total_requests"),
+    )
+
+
 def recent_usage(tokens: DataFrame, n: int = 100) -> DataFrame:
     """The newest usage rows."""
     return tokens.orderBy(F.col("created_at").desc(), "request_id", "id").limit(n)

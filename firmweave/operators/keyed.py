@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmweave.session import materialize
 
@@ -50,6 +50,7 @@ def upsert(
     keys: Sequence[str],
     order: Sequence[str] | None = None,
     new_id: str = "id",
+    top: Column | None = None,
 ) -> DataFrame:
     """Replace the values of existing keys, insert the others.
 
@@ -58,8 +59,8 @@ def upsert(
     the keys must be unique.  Columns a change does not carry keep their value
     on update and are NULL on insert, except ``new_id``: where the table has that
     integer column, an inserted row gets a number of its own above all given
-    ones.  The number is the rank of its key among the inserted ones, found by a
-    range sort, a count per partition and a sum of those counts.
+    ones (or above ``top``).  The number is the rank of its key among the inserted ones,
+    found by a range sort, a count per partition and a sum of those counts.
     Changes with a NULL key are left out, as they match nothing.
     """
     keys = list(keys)
@@ -68,25 +69,28 @@ def upsert(
     new = _reduced(changes, keys, order).select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in carried], F.lit(True).alias("_changed")
     )
-    joined = table.join(new, keys, "full_outer")
-    columns = [
-        F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        if c in carried
-        else F.col(c)
-        for c in table.columns
-    ]
+    marked = table.withColumn("_there", F.lit(True)).join(new, keys, "full_outer")
+
+    def columns(**given: Column) -> list[Column]:
+        return [
+            given[c].alias(c) if c in given
+            else F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in carried
+            else F.col(c)
+            for c in table.columns
+        ]
+
     if new_id not in table.columns or new_id in [*carried, *keys]:
-        return joined.select(*columns)
-    fresh = _numbered(new.join(table, keys, "left_anti").select(*keys), keys)
-    top = table.agg(F.coalesce(F.max(new_id), F.lit(0)).cast("bigint").alias("_top"))
-    numbered = joined.join(fresh, keys, "left").select(*columns[: table.columns.index(new_id)], (
-        F.coalesce(F.col(new_id).cast("bigint"), top.scalar() + F.col("_rank"))
-        .cast(table.schema[new_id].dataType).alias(new_id)
-    ), *columns[table.columns.index(new_id) + 1:])
-    return numbered
+        return marked.select(*columns())
+    # both halves read the same two shuffles; only inserted rows are sorted and written
+    kept = marked.where("_there").select(*columns())
+    fresh = with_rank(marked.where("_there IS NULL").drop("_there"), keys)
+    if top is None:
+        top = table.agg(F.coalesce(F.max(new_id), F.lit(0)).cast("bigint").alias("_top")).scalar()
+    number = (top + F.col("_rank")).cast(table.schema[new_id].dataType)
+    return kept.unionByName(fresh.select(*columns(**{new_id: number})))
 
 
-def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_rank(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_rank``: 1, 2, ... in the order of the (unique) keys, without one big sort task."""
     ranged = materialize(
         rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranks"
@@ -97,7 +101,7 @@ def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     return ranged.join(before, "_part").select(
-        *keys, (F.col("_before") + in_part).alias("_rank")
+        *rows.columns, (F.col("_before") + in_part).alias("_rank")
     )
 
 

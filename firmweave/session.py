@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,8 +35,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: scratch folders of this driver that are still there, each with its file system and path
+_scratch: dict[str, tuple] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the cluster's shared checkpoint folder, removed when the driver ends.
 
     ``spark.checkpoint.dir`` names that folder.  Where it is unset, a temporary
     folder serves a session on one machine, whose tasks share its disk; on a
@@ -47,7 +52,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="firmweave-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _scratch[path] = file_system(spark, path)
+    return path
 
 
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
@@ -55,7 +62,7 @@ def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
 
     Used where a plan forks into several sinks: the work runs once and a lost
     executor costs a re-read of files, not a recomputation.  The frame may be used
-    as long as the session lives; where its uses end earlier, ``materialized``
+    as long as the driver lives; where its uses end earlier, ``materialized``
     takes the files away.
     """
     spark = df.sparkSession
@@ -74,6 +81,18 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder."""
     files, target = file_system(spark, path)
     files.delete(target, True)
+    _scratch.pop(path, None)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Remove what this driver's jobs have left in the shared folder."""
+    while _scratch:
+        _, (files, target) = _scratch.popitem()
+        try:
+            files.delete(target, True)
+        except Exception:  # the gateway to the JVM is gone, and with it the way to the files
+            return
 
 
 @contextmanager

@@ -19,6 +19,11 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_run(df: DataFrame, path: str, run: int | str) -> None:
+    """Append the rows of one run; written again, say after a failure, they replace themselves."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def intake(
     requests: DataFrame, key: Column | None = None, now: Column | None = None
 ) -> DataFrame:
@@ -79,8 +84,11 @@ def log_rows(
     )
 
 
-def append_logs(df: DataFrame, path: str, now: Column | None = None) -> None:
-    append(log_rows(df, now), path)
+def append_logs(
+    df: DataFrame, path: str, now: Column | None = None, run: int | str | None = None
+) -> None:
+    rows = log_rows(df, now, run)
+    append(rows, path) if run is None else append_run(rows, path, run)
 
 
 def usage_ledger_rows(
@@ -97,15 +105,21 @@ def usage_ledger_rows(
     )
 
 
-def append_usage(df: DataFrame, path: str, now: Column | None = None) -> None:
-    append(usage_ledger_rows(df, now), path)
+def append_usage(
+    df: DataFrame, path: str, now: Column | None = None, run: int | str | None = None
+) -> None:
+    rows = usage_ledger_rows(df, now, run)
+    append(rows, path) if run is None else append_run(rows, path, run)
 
 
-def append_embeddings(df: DataFrame, path: str, now: Column | None = None) -> None:
+def append_embeddings(
+    df: DataFrame, path: str, now: Column | None = None, run: int | str | None = None
+) -> None:
     """Summary and vector are added; earlier vectors of the lead stay."""
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.current_timestamp() if now is None else now)
-    append(embedding_rows(df), path)
+    rows = embedding_rows(df, run)
+    append(rows, path) if run is None else append_run(rows, path, run)
 
 
 def embedding_rows(df: DataFrame, run: int | str | None = None) -> DataFrame:

@@ -1,12 +1,15 @@
 """What the completion job writes, the queries read."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from firmweave import schemas as S
-from firmweave.operators import audit, keyed, records
+from firmweave.operators import audit, keyed, records, validation
 from firmweave.plans import completion as C
 from firmweave.session import materialized, scratch_dir
 from firmweave.sources import payloads as P, sinks
@@ -121,3 +124,38 @@ def test_inserted_rows_get_keys(spark):
         [("b", "new"), ("d", "v"), ("c", "w"), (None, "lost")], "setting_key string, setting_value string")
     rows = sorted((r.setting_key, r.id, r.setting_value) for r in keyed.upsert(table, changes, ["setting_key"]).collect())
     assert rows == [("a", 1, "x"), ("b", 7, "new"), ("c", 8, "w"), ("d", 9, "v")]
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    """Rows that look alike within a run, and the same rows of another run, have ids of their own."""
+    steps = spark.createDataFrame(
+        [("a", "fetch_apis", "started", None)] * 3 + [("b", "fetch_apis", "failed", "{}")],
+        "request_id string, step_name string, status string, payload string")
+    path = str(tmp_path / "logs")
+    for run in ("mon", "tue", "tue"):
+        sinks.append_logs(steps, path, run=run)
+    logs = spark.read.parquet(path)
+    assert logs.count() == 8 and validation.duplicate_keys(logs, "id").count() == 0
+    usage = spark.createDataFrame([("a", "m", 1, 2, "s")], "request_id string, model_name string, input_tokens int, output_tokens int, step_name string")
+    vectors = spark.createDataFrame([("a", [1.0], "c")], "lead_id string, embedding array<float>, content_summary string")
+    for run in (1, 2, 2):
+        sinks.append_usage(usage, f"{path}-u", run=run)
+        sinks.append_embeddings(vectors, f"{path}-v", run=run)
+    for kind in "uv":
+        rows = spark.read.parquet(f"{path}-{kind}")
+        assert rows.count() == 2 and validation.duplicate_keys(rows, "id").count() == 0
+
+
+def test_scratch_goes_with_the_driver(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from firmweave.session import materialize
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+assert materialize(spark.range(3)).count() == 3
+import os; assert os.listdir({str(tmp_path)!r})
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, capture_output=True)
+    assert [f for f in os.listdir(tmp_path) if f.startswith("stage-")] == []
