@@ -22,14 +22,16 @@ are the ancestor intervals of the nodes it owns.  Nodes that are part of more th
   start (place in the stream), position (position id of the first token), length,
   ancestors (intervals [from, to) of the stream that every token of the segment may
   attend to, besides those ahead of it in the segment), loss_from and loss_to (the mask in
-  the segment, or null), conversations (how many share it), text (formatted);
+  the segment, or null), conversations (how many share it), owner (the one that emits it),
+  text (formatted);
 - members: conv_id, place, node_id, the turns of each conversation.
 ``read_back`` parses the text of each conversation out of these two.
 
 Turns of a conversation are ordered by turn (null first), role, then digest of role and
 text; a task streams over them, so a long conversation needs no memory but its path.
-Only digests and lengths are shuffled for the tree; texts move to meet their nodes, and
-again to be read back.
+Only digests and lengths are shuffled for the tree.  Texts move to meet their nodes and,
+read back, to their conversations: those that a conversation owns directly, shared ones
+after meeting the members that ask for them.
 
 Defined cases: missing text or role -> empty; missing conv_id -> one conversation of its
 own; repeated rows -> turns of their own; empty table -> no rows; further columns are
@@ -237,7 +239,8 @@ def format_conversations(conversations: DataFrame) -> Formatted:
     segments = materialize(
         index.join(texts, ["conv", "digest"]).select(
             F.col("node").alias("node_id"), F.col("parent").alias("parent_id"),
-            F.col("tree").alias("tree_id"), F.col("place").alias("depth"), "start", "position",
+            F.col("tree").alias("tree_id"), F.col("conv").alias("owner"),
+            F.col("place").alias("depth"), "start", "position",
             "length", "ancestors",
             F.when(masked, head).alias("loss_from"),
             F.when(masked, F.col("length") - len(END)).alias("loss_to"),
@@ -271,16 +274,18 @@ def read_back(formatted: Formatted) -> DataFrame:
     whose position id is not the length of what comes before, is an error.
     """
     members, segments = formatted.members, formatted.segments
-    rows = _meet(
+    told = ["position", "loss_from", "loss_to", "text"]
+    own = segments.select(F.col("owner").alias("conv"), F.col("depth").alias("place"), *told)
+    borrowed = _meet(
         members.withColumnRenamed("node_id", "node"),
-        segments.select(
-            F.col("node_id").alias("node"), "conversations", "position", "loss_from", "loss_to", "text"
+        segments.where("conversations > 1").select(
+            F.col("node_id").alias("node"), "owner", "conversations", *told
         ),
         "conversations",
         members.count(),
-    )
-    ordered = rows.repartition("conv").sortWithinPartitions("conv", "place").select(
-        "conv", "conv_id", "position", "loss_from", "loss_to", "text"
+    ).where("conv <> owner").select("conv", "place", *told)
+    ordered = own.unionAll(borrowed).repartition("conv").sortWithinPartitions("conv", "place").select(
+        "conv", *told
     )
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = (
@@ -304,13 +309,11 @@ def read_back(formatted: Formatted) -> DataFrame:
 
         for batch in batches:
             out = []
-            for key, conv_id, position, start, stop, text in zip(
-                *(c.to_pylist() for c in batch.columns)
-            ):
+            for key, position, start, stop, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or key != conv:
                     if state is not None:
                         out.append(closed())
-                    conv, state = key, [conv_id, 0, hashlib.sha256(), hashlib.sha256(), 0, 0]
+                    conv, state = key, [int(key) if key else None, 0, hashlib.sha256(), hashlib.sha256(), 0, 0]
                 role, mark, body = text.removeprefix(TURN).partition(SEP)
                 if not (text.startswith(TURN) and mark and body.find(END) == len(body) - len(END)):
                     raise ValueError("not a turn of the template")
