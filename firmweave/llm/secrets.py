@@ -5,33 +5,41 @@ dropped: ``assign`` (a key word, a separator, a value of 6 or more characters),
 ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more).  Places are code
 points of the whole text, ends exclusive; an assignment's span is its whole match.
 
-The field tags tokens as begin, inside or outside of a secret.  Tokens are runs
-of ``[A-Za-z0-9+/_.-]``, and single other characters that are no white space.
-Features of a token: its shape (kinds of characters, length, variety, hexadecimal
-or not), the words and separators within two tokens, and the text's own measures.
-Weights are trained here by maximum likelihood (forward-backward over all
-windows at once, adaptive gradient steps) on at most ``SAMPLE`` windows, taken in
-hash order from all documents; their tags are the base patterns' values.  Each
-text is decoded by Viterbi over the windows around its candidate tokens (those
-with a digit and 8 or more characters, and key words); a token more than
-``AROUND`` words away from all of them is outside.  Spans the field
-adds lie beside the base spans, never in place of them, and have kind ``model``.
+The field (``llm.field``) tags every token of every text as begin, inside or outside of a
+secret and is decoded by Viterbi.  Its spans, of kind ``model``, are what the base spans
+leave over: a value that goes on behind a base span's end adds the rest.  They hold no
+white space and ``LEAST`` characters or more, and go on to the end of the value that they
+reach into (``DELIMITER``); full stops, colons and dashes at their end are cut.
+
+Training.  Windows of text are drawn by a hash of the text, by a threshold that counts over
+all documents set: up to ``POSITIVE`` windows around base spans and ``NEGATIVE`` windows of
+any documents.  The patterns' values are tagged as secrets.  So that the field learns more
+than the patterns, each window also stands with other key words (``RENAMED``), with other
+values (random letters and digits, words run together, symbols inside or behind, prefixes
+of public token formats), and with no key word where the value tells by itself; windows
+without secrets also stand with a key word before an ordinary word, which stays outside.
+These variants are drawn by a generator seeded with the window.
 
 Defined cases: missing or empty text -> no spans; documents without any base
 span in the corpus -> no training windows, base spans only; repeated rows give
-repeated results; empty table -> no rows.
+repeated results; empty table -> no rows.  A text of any length is read in pieces of
+``field.PIECE`` bytes; a token longer than that is cut there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firmweave.llm import field as crf
+from firmweave.llm.field import Field, Tokens, measure, train_field
 from firmweave.llm.tables import map_batches
 
 KINDS = ("assign", "access", "hex", "model")
@@ -42,24 +50,25 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is never split, so shorter runs simply do not count
 KEYWORDS = ("passw", "secret", "token", "api")
-
-SAMPLE = 6000
-AROUND = 3
-BITS = 14
-STEPS = 120
-RATE = 0.4
-DECAY = 1e-4
-LONGEST = 40
-TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]")
-DIGIT = re.compile(r"[0-9]")
-RUN = re.compile(r"[A-Za-z0-9+/_.\-]+")
-RUN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-CUE = re.compile(r"(?:passw|secret|token|api)[A-Za-z0-9+/_.\-]*", re.IGNORECASE | re.ASCII)
-LEXICON = {
-    "password": 1, "passwd": 1, "pwd": 1, "secret": 2, "token": 3, "key": 4, "apikey": 4,
-    "api_key": 4, "api-key": 4, "access": 5, "auth": 5, "bearer": 5, "credential": 5,
-}
-B, I, O = 0, 1, 2
+#: what Spark looks for to find texts with base spans
+LIKELY = r"(?i:passw|secret|token|api_?key)[^\n]{0,8}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+
+#: windows drawn from texts with base spans and from any texts, and from one text
+POSITIVE, NEGATIVE, PER_TEXT = 800, 1600, 3
+#: characters of a window on each side, and the least of a span that the field adds
+SIDE, LEAST = 110, 6
+#: tokens of a training window
+LONGEST = 60
+#: what ends a value, looked for in so many bytes behind the field's last token
+DELIMITER, GROWTH = re.compile(rb"""[\s"'`,;()\[\]{}<>]"""), 512
+
+# Key words that the patterns lack, and prefixes of public token formats.
+RENAMED = (
+    "pwd", "pass", "passphrase", "passcode", "auth", "authorization", "Authorization: Bearer", "bearer",
+    "credential", "credentials", "private_key", "privatekey", "client_secret", "access_key", "accesskey",
+    "login", "session", "signature", "jwt", "PWD", "DB_PASS", "AUTH", "Bearer", "key", "pin",
+)
+PREFIXES = ("ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "AIza", "eyJ", "npm_", "pypi-")
 
 
 # -- base spans ---------------------------------------------------------------
@@ -91,285 +100,343 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-# -- features -----------------------------------------------------------------
-
-
-def _shape(token: str) -> str:
-    kinds = (
-        ("a" if re.search("[a-z]", token) else "")
-        + ("A" if re.search("[A-Z]", token) else "")
-        + ("0" if DIGIT.search(token) else "")
-        + ("+" if re.search(r"[+/_.\-]", token) else "")
-    ) or token
-    size = len(token)
-    length = size if size < 4 else 4 + min((size - 4) // 4, 8)
-    variety = min(3, len(set(token)) * 4 // (size + 1))
-    hexed = "h" if size >= 8 and not re.search("[^0-9a-f]", token) else ""
-    return f"{kinds}{length}v{variety}{hexed}{'K' if token.startswith('AKIA') else ''}"
+# -- training windows -----------------------------------------------------------
 
+Window = tuple[str, list[tuple[int, int]]]  # text, spans of its secrets
 
-def _word(token: str) -> str:
-    """A token as its neighbours see it: a key word, a separator, or its rough kind."""
-    low = token.lower()
-    if low in LEXICON:
-        return f"k{LEXICON[low]}"
-    if len(token) == 1 and not token.isalnum():
-        return token if token < "\x80" else "?"
-    return "0" if DIGIT.search(token) else "w"
 
+def _letters(rng: random.Random, least: int, most: int) -> str:
+    letters = rng.choice([string.ascii_letters, string.ascii_letters + string.digits])
+    return "".join(rng.choices(letters, k=rng.randint(least, most)))
 
-def _number(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=4).digest(), "little") >> (32 - BITS)
 
+def _value(rng: random.Random) -> str:
+    """A secret value of one of many shapes."""
+    def of(letters: str, least: int, most: int) -> str:
+        return "".join(rng.choices(letters, k=rng.randint(least, most)))
 
-_CACHE: dict[str, int] = {}
+    def word() -> str:
+        return "".join(
+            rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))
+        )
 
+    alnum = string.ascii_letters + string.digits
+    kind = rng.randrange(9)
+    if kind == 0:
+        return "".join(word().capitalize() for _ in range(rng.randint(2, 4)))
+    if kind == 1:
+        return of(string.ascii_letters, 10, 40)
+    if kind == 2:
+        return of(alnum, 10, 44)
+    if kind == 3:
+        return of(alnum + "+/", 20, 60) + rng.choice(["", "=", "=="])
+    if kind == 4:
+        return of("0123456789abcdef", 10, 23)
+    if kind == 5:
+        return of(alnum, 5, 16) + rng.choice("!@#$%^&*") + of(alnum, 1, 8) + rng.choice(["", "!", "?", "#"])
+    if kind == 6:
+        return word().capitalize() + rng.choice(["", "-", "_", "."]) + of(string.digits, 2, 6) + rng.choice(["", "!", "$"])
+    if kind == 7:
+        return rng.choice(PREFIXES) + of(alnum, 16, 40)
+    return of(string.ascii_uppercase + string.digits, 12, 32)
+
+
+def _ordinary(rng: random.Random) -> str:
+    """Something that looks odd and is no secret."""
+    def of(letters: str, least: int, most: int) -> str:
+        return "".join(rng.choices(letters, k=rng.randint(least, most)))
+
+    low, digits = string.ascii_lowercase, string.digits
+    name = of(low, 3, 9)
+    return rng.choice([
+        f"http{rng.choice(['', 's'])}://www.{name}.com/{of(low, 2, 8)}/{of(low, 2, 8)}?id={of(digits, 1, 6)}",
+        f"https://{name}.org/{of(low, 3, 9)}.html", f"{name}.{of(low, 3, 8)}@{of(low, 4, 9)}.{rng.choice(['com', 'org', 'net'])}",
+        f"+{of(digits, 2, 2)} {of(digits, 3, 3)} {of(digits, 6, 8)}", f"({of(digits, 3, 3)}) {of(digits, 3, 3)}-{of(digits, 4, 4)}",
+        f"20{of(digits, 2, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:00:00Z", f"v{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}",
+        f"/usr/{name}/{of(low, 2, 8)}/{of(low, 2, 8)}.py", f"{name}_{of(low, 2, 8)}({of(low, 1, 6)}={of(digits, 1, 4)})",
+        f"{of(digits, 1, 3)}.{of(digits, 1, 3)}.{of(digits, 1, 3)}.{of(digits, 1, 3)}", of(digits, 4, 16), f"{of(digits, 1, 3)},{of(digits, 3, 3)}.{of(digits, 2, 2)}",
+        f"#{of('0123456789abcdef', 6, 6)}", f"{of(string.ascii_uppercase, 2, 4)}-{of(digits, 2, 6)}", f"{name.capitalize()}{of(low, 3, 7).capitalize()}",
+        name.upper(), f"{of(low, 2, 6)}={of(low, 2, 8)}", f"{of(low, 2, 6)}: {of(low, 2, 8)}", f"{name}-{of(low, 3, 8)}-{of(low, 3, 8)}",
+    ])
+
+
+def _inserted(text: str, at: tuple[int, int], key: str, value: str, rng: random.Random) -> Window:
+    """``text`` with key and value in the place ``at``, and the span of the value."""
+    quote = rng.choice(["", "", '"', "'"])
+    bare = key.lower().endswith("bearer") and rng.random() < 0.7
+    sign = " " if bare else rng.choice(["=", " = ", ": ", ":", "=", " := "]) if key else ""
+    before = text[: at[0]] + key + sign + quote
+    after = quote + rng.choice(["", "", ",", ";", "."]) * (text[at[1]: at[1] + 1] in ("", " "))
+    return before + value + after + text[at[1]:], [(len(before), len(before) + len(value))]
+
+
+def variants(text: str, rng: random.Random) -> list[Window]:
+    """The window as the patterns tag it, and others that go beyond them."""
+    spans = base_spans(text)
+    own = [(text, [(value, end) for _, _, end, value in spans])]
+    if not spans:
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        if len(words) < 4:
+            return own
+        at = words[rng.randrange(1, len(words) - 1)]
+        plain = text[at[0]: at[1]].strip(".,;:!?\"'()").lower()
+        if plain.isalpha():
+            cue = rng.choice([*RENAMED, "password", "token", "secret", "key"])
+            shown = cue + rng.choice([" ", " is ", " and ", ": the ", ", "])
+            made = text[: at[0]] + shown + plain + text[at[1]:]
+            own.append((made, [(v, e) for _, _, e, v in base_spans(made)]))
+        made = " ".join([text[: at[0]], _ordinary(rng), text[at[0]: at[1]], _ordinary(rng), text[at[1]:]])
+        own.append((made, [(v, e) for _, _, e, v in base_spans(made)]))
+        key, value = rng.choice(RENAMED), _value(rng)
+        if rng.random() < 0.2:
+            key, value = "", rng.choice(PREFIXES) + _letters(rng, 20, 40)
+        made, ((begin, end),) = _inserted(text, (at[0], at[0]), key, value + " ", rng)
+        own.append((made, [(begin, end - 1)]))
+        return own
+    start, _, end, _ = spans[rng.randrange(len(spans))]
+    if sum(start < e and a < end for a, _, e, _ in spans) > 1:
+        return own  # base spans in one another, such as a hexadecimal value of an assignment
+    known = rng.choice(["password", "token", "secret", "api_key", "passwd"])
+    made = [
+        _inserted(text, (start, end), rng.choice(RENAMED), _value(rng), rng),
+        _inserted(text, (start, end), known, _value(rng), rng),
+    ]
+    if rng.random() < 0.7:
+        made.append(_inserted(text, (start, end), "", rng.choice(PREFIXES) + _letters(rng, 20, 40), rng))
+    rest = [(v, e) for a, _, e, v in spans if e <= start]
+    return own + [(t, rest + found) for t, found in made if not any(a >= end for a, *_ in spans)]
+
+
+def windows_of(text: str, positive: bool) -> list[str]:
+    """Windows around base spans, or at places that a hash of the text names; whole words."""
+    if positive:
+        places = [(a, b) for a, _, b, _ in base_spans(text)]
+    else:
+        seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+        rng = random.Random(seed)
+        places = [(at, at) for at in (rng.randrange(len(text)) for _ in range(PER_TEXT))] if text else []
+    ranked = sorted(places, key=lambda p: hashlib.blake2b(f"{p}:{len(text)}".encode(), digest_size=8).digest())
+    found = []
+    for begin, end in ranked[:PER_TEXT]:
+        begin, end = max(0, begin - SIDE), min(len(text), end + SIDE)
+        while 0 < begin and not text[begin - 1].isspace() and begin % 64:
+            begin -= 1
+        while end < len(text) and not text[end].isspace() and end % 64:
+            end += 1
+        if end - begin <= 6 * SIDE:
+            found.append(text[begin:end])
+    return found
+
+
+def examples(windows: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, tags, gaps) of the variants of some windows."""
+    made = []
+    for text in windows:
+        rng = random.Random(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big"))
+        made += variants(text, rng)
+    raw = [text.encode() for text, _ in made]
+    cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    measures = np.array([_measure(text) for text, _ in made])
+    tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), cuts[:-1], measures)
+    tags = np.full(len(tokens.start), crf.O, np.int8)
+    for k, (text, spans) in enumerate(made):
+        first, last = np.searchsorted(tokens.text, [k, k + 1])
+        for a, b in spans:
+            begin = cuts[k] + len(text[:a].encode())
+            end = begin + len(text[a:b].encode())
+            inside = first + np.flatnonzero((tokens.start[first:last] < end) & (tokens.end[first:last] > begin))
+            if len(inside):
+                tags[inside] = crf.I
+                # a value that white space splits goes on as another one
+                tags[inside[tokens.gap[inside]]] = crf.B
+                tags[inside[0]] = crf.B
+    bounds = np.searchsorted(tokens.text, np.arange(len(made) + 1))
+    out = []
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        if b - a > LONGEST:  # the tokens around the first secret, else the first ones
+            secret = np.flatnonzero(tags[a:b] != crf.O)
+            a += max(0, int(secret[0]) - LONGEST // 3) if len(secret) else 0
+            b = min(b, a + LONGEST)
+            tags[a] = crf.B if tags[a] == crf.I else tags[a]
+        if b > a:
+            out.append((tokens.x[a:b], tags[a:b], tokens.gap[a:b]))
+    return out
+
+
+def _measure(text: str) -> int:
+    return measure(len(text), "=" in text, _has_keyword(text))
+
+
+def sampled_windows(docs: DataFrame, positive: int, negative: int) -> list[str]:
+    """The training windows, at most ``positive`` and ``negative``, whatever the partitions.
+
+    A text enters if its hash lies below a threshold, which the number of texts of its sort
+    sets so that about as many as wanted pass; equal windows are one.
+    """
+    texts = docs.select(
+        F.col("text"), F.col("text").rlike(LIKELY).alias("likely"),
+        F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("h"),
+    ).where("text <> ''")
+    counts = texts.agg(F.count_if("likely").alias("likely"), F.count("*").alias("all")).first()
 
-def _hashed(feature: str) -> int:
-    if feature not in _CACHE:
-        if len(_CACHE) > 200_000:
-            _CACHE.clear()
-        _CACHE[feature] = _number(feature)
-    return _CACHE[feature]
+    def below(wanted: int, count: int) -> int:
+        return min(1 << 32, (wanted << 32) // max(1, count))
 
+    chosen = texts.where(
+        (F.col("likely") & (F.col("h") < below(positive, counts["likely"])))
+        | (F.col("h") < below(negative, counts["all"]))
+    ).select("text", (F.col("likely") & (F.col("h") < below(positive, counts["likely"]))).alias("likely"),
+             (F.col("h") < below(negative, counts["all"])).alias("any"))
 
-def text_measures(text: str, candidates: int) -> str:
-    """The text's own features: its size class, candidates per size, assignment signs."""
-    size = len(text).bit_length()
-    return f"f{size // 3}c{min(candidates, 3)}{'=' if '=' in text else ''}{'k' if 'AKIA' in text else ''}"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, likely, other in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                out += [(True, w) for w in windows_of(text, True)] if likely else []
+                out += [(False, w) for w in windows_of(text, False)] if other else []
+            columns = list(zip(*sorted(set(out)), strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.string())],
+                names=["positive", "text"],
+            )
 
+    rows = map_batches(chosen, run, "positive boolean, text string").distinct().collect()
+    ranked = sorted(rows, key=lambda r: hashlib.blake2b(r["text"].encode(), digest_size=8).digest())
+    return [r["text"] for r in ranked if r["positive"]][:positive] + [
+        r["text"] for r in ranked if not r["positive"]][:negative]
 
-def windows_of(text: str) -> Iterator[tuple[list[re.Match], list[list[int]]]]:
-    """Tokens and features of each stretch around candidate tokens.
 
-    A stretch is cut out of the text with enough characters on both sides, so a
-    text is never held as one list of tokens.
-    """
-    spots = candidates(text)
-    if not spots:
-        return
-    measures = text_measures(text, len(spots))
-    stretches: list[list[int]] = []
-    for begin, end in spots:
-        left, right = _reach(text, begin, -1), _reach(text, end, 1)
-        if stretches and left <= stretches[-1][1]:
-            stretches[-1][1] = max(right, stretches[-1][1])
-        else:
-            stretches.append([left, right])
-    for begin, end in stretches:
-        tokens = list(TOKEN.finditer(text, begin, end))
-        words = ["^", "^", *(_word(t.group()) for t in tokens), "$", "$"]
-        rows = []
-        for i, t in enumerate(tokens):
-            shape = _shape(t.group())
-            w = words[i : i + 5]
-            rows.append([
-                _hashed(f) for f in (
-                    "s" + shape, "w" + w[2], "p" + w[1], "n" + w[3], f"pp{w[0]}{w[1]}",
-                    f"nn{w[3]}{w[4]}", f"ps{w[1]}{shape}", f"pps{w[0]}{w[1]}{shape}",
-                    f"m{measures}{shape[:6]}", "bias",
-                )
-            ])
-        yield tokens, rows
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of the candidate tokens, sorted."""
-    found = []
-    at = 0
-    while digit := DIGIT.search(text, at):
-        begin = digit.start()
-        while begin > at and text[begin - 1] in RUN_CHARACTERS:
-            begin -= 1
-        at = RUN.match(text, digit.start()).end()
-        if at - begin >= 8:
-            found.append((begin, at))
-    if _has_keyword(text):
-        found += [m.span() for m in CUE.finditer(text)]
-    return sorted(found)
-
-
-def _reach(text: str, place: int, way: int) -> int:
-    """A place some tokens away: white space at least ``AROUND`` words off, or the text's end."""
-    words = 0
-    while 0 < place < len(text) and words <= AROUND:
-        place += way
-        at = place if way > 0 else place - 1
-        if 0 <= at < len(text) and text[at].isspace():
-            words += 1
-            while 0 < place < len(text) and text[place if way > 0 else place - 1].isspace():
-                place += way
-    return place
-
-
-def tags_of(tokens: list[re.Match], values: list[tuple[int, int]]) -> list[int]:
-    """Tags by the value spans (start, end): begin, inside, outside."""
-    tags = []
-    before = None
-    for t in tokens:
-        own = next((k for k, (a, b) in enumerate(values) if t.start() < b and t.end() > a), None)
-        tags.append(O if own is None else (I if own == before else B))
-        before = own
-    return tags
-
-
-# -- the field ----------------------------------------------------------------
-
-
-class Field:
-    def __init__(self, weight: np.ndarray, moves: np.ndarray):
-        self.weight, self.moves = weight, moves
-
-    def decode(self, rows: list[list[int]]) -> list[int]:
-        """The best tags of one stretch (Viterbi)."""
-        emit = self.weight[np.array(rows)].sum(axis=1)
-        score = emit[0] + np.array([0.0, -1e9, 0.0])
-        back = []
-        for e in emit[1:]:
-            total = score[:, None] + self.moves
-            back.append(total.argmax(axis=0))
-            score = total.max(axis=0) + e
-        tag = int(score.argmax())
-        tags = [tag]
-        for step in reversed(back):
-            tag = int(step[tag])
-            tags.append(tag)
-        return tags[::-1]
-
-
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
-def train_field(stretches: list[tuple[np.ndarray, np.ndarray]]) -> Field | None:
-    """Maximum likelihood over (features [n, f], tags [n]) by adaptive gradient steps."""
-    if not stretches:
+def train(docs: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Field | None:
+    """A field fit on at most so many windows and their variants; None without base spans."""
+    windows = sampled_windows(docs, positive, negative)
+    if not any(base_spans(w) for w in windows):
         return None
-    n, length = len(stretches), max(len(t) for _, t in stretches)
-    width = stretches[0][0].shape[1]
-    x = np.zeros((n, length, width), np.int32)
-    y = np.full((n, length), O, np.int8)
-    mask = np.zeros((n, length), bool)
-    for k, (rows, tags) in enumerate(stretches):
-        x[k, : len(tags)], y[k, : len(tags)], mask[k, : len(tags)] = rows, tags, True
-    weight, moves = np.zeros((1 << BITS, 3)), np.zeros((3, 3))
-    barred = np.zeros((3, 3))
-    barred[O, I] = -1e6  # inside follows begin or inside
-    begin = np.array([0.0, -1e6, 0.0])
-    speed, moves_speed = np.full(weight.shape, 1e-8), np.full((3, 3), 1e-8)
-    gold = np.eye(3)[y] * mask[..., None]
-    gold_moves = np.zeros((3, 3))
-    both = mask[:, 1:]
-    np.add.at(gold_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
-    for _ in range(STEPS):
-        emit = weight[x].sum(axis=2)
-        step = moves + barred
-        ahead = np.zeros((n, length, 3))
-        ahead[:, 0] = emit[:, 0] + begin
-        for k in range(1, length):
-            new = _sum_exp(ahead[:, k - 1, :, None] + step, 1) + emit[:, k]
-            ahead[:, k] = np.where(mask[:, k, None], new, ahead[:, k - 1])
-        back = np.zeros((n, length, 3))
-        for k in range(length - 2, -1, -1):
-            new = _sum_exp(step + (emit[:, k + 1] + back[:, k + 1])[:, None, :], 2)
-            back[:, k] = np.where(mask[:, k + 1, None], new, 0.0)
-        total = _sum_exp(ahead[:, -1], 1)
-        chance = np.exp(np.clip(ahead + back - total[:, None, None], -700, 0)) * mask[..., None]
-        pairs = np.exp(np.clip(
-            ahead[:, :-1, :, None] + step + (emit[:, 1:] + back[:, 1:])[:, :, None, :]
-            - total[:, None, None, None], -700, 0,
-        )) * both[..., None, None]
-        gap = (chance - gold).reshape(-1, 3)
-        gradient = np.zeros_like(weight)
-        for tag in range(3):
-            gradient[:, tag] = np.bincount(
-                x.reshape(-1), weights=np.repeat(gap[:, tag], width), minlength=1 << BITS
-            )
-        gradient = gradient / n + DECAY * weight
-        moves_gradient = (pairs.sum(axis=(0, 1)) - gold_moves) / n + DECAY * moves
-        speed += gradient**2
-        moves_speed += moves_gradient**2
-        weight -= RATE * gradient / np.sqrt(speed)
-        moves -= RATE * moves_gradient / np.sqrt(moves_speed)
-    return Field(weight.astype(np.float32), (moves + barred).astype(np.float32))
+    return train_field(examples(windows))
 
 
-def training_windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stretches of one text with the tags its base spans give, long ones cut."""
-    values = [(value, end) for _, _, end, value in base_spans(text)]
-    for tokens, rows in windows_of(text):
-        tags = tags_of(tokens, [v for v in values if v[0] < tokens[-1].end() and v[1] > tokens[0].start()])
-        for k in range(0, len(tags), LONGEST):
-            yield np.array(rows[k : k + LONGEST], np.int32), np.array(tags[k : k + LONGEST], np.int8)
+# -- spans of the field -----------------------------------------------------------
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field fit on ``sample`` windows at most, in hash order over all documents."""
+def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, behind the last, begin and end in the only text): ``PIECE`` bytes or so."""
+    first = held = 0
+    for k, size in enumerate(lengths.tolist()):
+        if size > crf.PIECE:
+            if first < k:
+                yield first, k, 0, -1
+            for at in range(0, size, crf.PIECE):
+                yield k, k + 1, at, min(size, at + crf.PIECE)
+            first, held = k + 1, 0
+        elif held + size > crf.PIECE:
+            yield first, k, 0, -1
+            first, held = k, size
+        else:
+            held += size
+    if first < len(lengths):
+        yield first, len(lengths), 0, -1
+
+
+def field_spans(field: Field, column: pa.Array, measures: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """The field's spans in bytes, (begin, end) by place of the text in the column."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, values = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+    known = np.array(measures, np.int64)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for first, last, begin, end in _pieces(np.diff(offsets)):
+        low, high = offsets[first], offsets[last]
+        if end >= 0:  # a piece of one text, with its surroundings
+            low, high = max(low, low + begin - crf.MARGIN), min(high, low + end + crf.MARGIN)
+        cuts = np.maximum(offsets[first:last], low) - low
+        tokens = Tokens(data[low:high], cuts, known[first:last])
+        if not len(tokens.start):
+            continue
+        for a, b in _tagged(tokens, field.decode(tokens)):
+            text = first + int(tokens.text[a])
+            from_, to = int(tokens.start[a] + low - offsets[text]), int(tokens.end[b] + low - offsets[text])
+            to = _grown(data, int(offsets[text]), to, int(offsets[text + 1] - offsets[text]))
+            while to > from_ and data[offsets[text] + to - 1] in b".-:":
+                to -= 1
+            if to - from_ >= LEAST and (end < 0 or begin <= from_ < end):
+                found.setdefault(text, []).append((from_, to))
+    return found
+
+
+def _grown(data: np.ndarray, offset: int, end: int, size: int) -> int:
+    """The end of the value that a span reaches into: white space, a quote, a bracket, a comma."""
+    stop = DELIMITER.search(data[offset + end: offset + min(size, end + GROWTH)].tobytes())
+    return end + (stop.start() if stop else min(size - end, GROWTH))
+
+
+def _tagged(tokens: Tokens, tags: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first token, last token) of each span."""
+    own = tags != crf.O
+    follows = np.zeros(len(tags), bool)
+    follows[1:] = own[:-1]
+    begins = own & ((tags == crf.B) | ~follows | tokens.gap)
+    stops = np.append(np.flatnonzero(begins | ~own), len(tags))
+    for a in np.flatnonzero(begins).tolist():
+        yield a, int(stops[np.searchsorted(stops, a, side="right")]) - 1
+
+
+def _code_points(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in bytes as spans in characters."""
+    if text.isascii():
+        return spans
+    raw = np.frombuffer(text.encode(), np.uint8)
+    out, at, seen = [], 0, 0
+    for a, b in sorted(spans):
+        seen += int(np.count_nonzero((raw[at:a] & 0xC0) != 0x80))
+        inside = int(np.count_nonzero((raw[a:b] & 0xC0) != 0x80))
+        out.append((seen, seen + inside))
+        at, seen = b, seen + inside
+    return out
+
+
+def _outside(span: tuple[int, int], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no base span covers."""
+    at, end = span
+    for a, _, b in base:
+        if b <= at or a >= end:
+            continue
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < end:
+        yield at, end
+
+
+def spans_of(column: pa.Array, field: Field | None) -> Iterator[tuple[list, list]]:
+    """Base spans and all spans of each text, each (start, kind, end), sorted."""
+    texts = [t or "" for t in column.to_pylist()]
+    added = {} if field is None else field_spans(field, column, [_measure(t) for t in texts])
+    for k, text in enumerate(texts):
+        base = [(a, kind, b) for a, kind, b, _ in base_spans(text)]
+        more = [
+            (a, 3, b) for span in _code_points(text, added.get(k, [])) for a, b in _outside(span, base)
+        ]
+        yield base, sorted(base + more)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[bytes, bytes, bytes]] = []
-            for text in batch.column(0).to_pylist():
-                for x, y in training_windows(text or ""):
-                    raw = x.tobytes()
-                    out.append((hashlib.blake2b(raw, digest_size=8).digest(), raw, y.tobytes()))
-            # a task forwards no more than the sample can take
-            out = sorted(set(out))[:sample]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()) for c in columns], names=["h", "x", "y"]
-            )
 
-    rows = (
-        map_batches(docs.select("text"), run, "h binary, x binary, y binary")
-        .distinct().orderBy("h", "y").limit(sample).collect()
-    )
-    found = []
-    for r in rows:
-        y = np.frombuffer(bytes(r.y), np.int8)
-        found.append((np.frombuffer(bytes(r.x), np.int32).reshape(len(y), -1), y))
-    if not any((y != O).any() for _, y in found):
-        return None
-    return train_field(found)
+def all_spans(text: str | None, field: Field | None) -> tuple[list, list]:
+    """Base spans and all spans of one text."""
+    return next(spans_of(pa.array([text], pa.string()), field))
 
 
 # -- jobs ---------------------------------------------------------------------
 
 
-def all_spans(text: str, field: Field | None) -> tuple[list, list]:
-    """Base spans and all spans, each (start, kind, end), sorted."""
-    base = [(a, k, b) for a, k, b, _ in base_spans(text)]
-    added = []
-    if field is not None:
-        for tokens, rows in windows_of(text):
-            tags = field.decode(rows)
-            k = 0
-            while k < len(tags):
-                if tags[k] == O:
-                    k += 1
-                    continue
-                last = k
-                while last + 1 < len(tags) and tags[last + 1] == I:
-                    last += 1
-                begin, end = tokens[k].start(), tokens[last].end()
-                if not any(a < end and begin < b for a, _, b in base):
-                    added.append((begin, 3, end))
-                k = last + 1
-    return base, sorted(base + added)
-
-
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    field = docs.sparkSession.sparkContext.broadcast(train(texts, sample))
+    field = docs.sparkSession.sparkContext.broadcast(train(texts, positive, negative))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                base, spans = all_spans(text or "", field.value)
+            for base, spans in spans_of(batch.column(1), field.value):
                 counts = [sum(k == kind_of for _, k, _ in base) for kind_of in range(3)]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -388,25 +455,25 @@ def cut_out(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]"
     """``text`` with each stretch covered by spans replaced by ``mark``."""
     out, at = [], 0
     for start, _, end in spans:
-        if start >= at:
+        if start > at or not out:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> DataFrame:
     """The rows of ``docs`` with secrets cut out of ``text``, ``n_chars`` to match."""
     packed = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("doc"),
         F.col("text").cast("string").alias("text"),
     )
-    field = docs.sparkSession.sparkContext.broadcast(train(packed, sample))
+    field = docs.sparkSession.sparkContext.broadcast(train(packed, positive, negative))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text in batch.column(1).to_pylist():
-                spans = all_spans(text, field.value)[1] if text else []
+            texts = batch.column(1).to_pylist()
+            for text, (_, spans) in zip(texts, spans_of(batch.column(1), field.value)):
                 found.append(cut_out(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.string())], names=["doc", "text"]
