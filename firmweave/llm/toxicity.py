@@ -15,9 +15,10 @@ unseen endings still count; all are held as hashed numbers.  The model is fit on
 outside the held-out fold, in hash order from all labels; scoring covers every
 whole text.
 
-Defined cases: missing or empty text, or one without words -> score 0; no labels
-of one of the classes -> every document gets that class's certain score (0.5
-without labels); rows that repeat an id are scored one by one.
+Defined cases: missing or empty text, or one without words -> score 0; labels of one
+class only -> every document, empty ones too, gets that class's certain score, and
+without labels 0.5; no sentence is located then; rows that repeat an id are scored one
+by one.
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 class Model:
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight.astype(np.float32), bias
+    def __init__(self, weight: np.ndarray, bias: float, constant: float | None = None):
+        """``constant``: the score of every text, where the labels know one class at most."""
+        self.weight, self.bias, self.constant = weight.astype(np.float32), bias, constant
 
     def chances(self, number: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the sentences that hold words, and the first word of each."""
@@ -82,6 +84,8 @@ class Model:
         return np.add.reduceat(self.weight[number].astype(float), first) + self.bias, first
 
     def score(self, number: np.ndarray, sentence: np.ndarray) -> float:
+        if self.constant is not None:
+            return self.constant
         logit, _ = self.chances(number, sentence)
         return float(-np.expm1(-np.logaddexp(0, logit).sum()))
 
@@ -89,8 +93,7 @@ class Model:
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     size = 1 << BITS
     if len(np.unique(y)) < 2:
-        sign = 0 if not len(y) else (1 if y[0] else -1)
-        return Model(np.zeros(size), {0: -0.0, 1: 50.0, -1: -50.0}[sign])
+        return Model(np.zeros(size), BIAS, 0.5 if not len(y) else float(y[0]))
     held = [r for r in rows if len(r)]
     label = y[[len(r) > 0 for r in rows]].astype(float)
     seen = np.zeros(size, np.int32)
@@ -140,36 +143,59 @@ def offending(model: Model, text: str | None, least: float = 0.5) -> list[tuple[
     """Code-point places (begin, end) of the sentences with a chance of ``least`` or more."""
     (number, sentence, start, raw), = sentences([text])
     logit, first = model.chances(number, sentence)
-    found = []
-    for k in np.flatnonzero(1 / (1 + np.exp(-logit)) >= least):
-        begin = int(start[first[k]])
-        end = next((e for e in range(begin, len(raw)) if _CUT[raw[e]]), len(raw) - 1) + 1
-        found.append((len(raw[:begin].decode()), len(raw[:end].decode())))
+    return _places(raw, start[first[1 / (1 + np.exp(-logit)) >= least]])
+
+
+def _places(raw: bytes, begins: np.ndarray) -> list[tuple[int, int]]:
+    """The sentences whose first words stand at these bytes, as code points."""
+    if not len(begins):
+        return []
+    cuts = np.flatnonzero(_CUT[np.frombuffer(raw, np.uint8)])
+    found, at, seen = [], 0, 0
+    for begin in begins.tolist():
+        k = np.searchsorted(cuts, begin)
+        end = int(cuts[k]) + 1 if k < len(cuts) else len(raw)
+        seen += len(raw[at:begin].decode())
+        size = len(raw[begin:end].decode())
+        found.append((seen, seen + size))
+        at, seen = end, seen + size
     return found
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = EACH) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_toxic_sentences."""
+    """One row per document: doc_id, held_out, score, predicted, and its offending sentences.
+
+    These are sentences with a chance of a half or more: their number
+    (n_toxic_sentences) and places (toxic_sentences: ``begin:end`` in code points, ends
+    exclusive, joined by commas).
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, each=each))
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, counts = [], []
-            for number, sentence, _, _ in sentences(batch.column(1).to_pylist()):
-                logit, _ = model.value.chances(number, sentence)
-                scores.append(float(-np.expm1(-np.logaddexp(0, logit).sum())))
-                counts.append(int((logit >= 0).sum()))
+            scores, counts, places = [], [], []
+            fixed = model.value.constant
+            for number, sentence, start, raw in sentences(batch.column(1).to_pylist()):
+                logit, first = model.value.chances(number, sentence)
+                known = -np.expm1(-np.logaddexp(0, logit).sum()) if fixed is None else fixed
+                found = _places(raw, start[first[logit >= 0]])
+                scores.append(float(known))
+                counts.append(len(found))
+                places.append(",".join(f"{a}:{b}" for a, b in found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())],
-                names=["doc_id", "score", "n_toxic_sentences"],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()),
+                 pa.array(places, pa.string())],
+                names=["doc_id", "score", "n_toxic_sentences", "toxic_sentences"],
             )
 
-    return map_batches(texts, run, f"doc_id {kind}, score double, n_toxic_sentences long").select(
+    columns = f"doc_id {kind}, score double, n_toxic_sentences long, toxic_sentences string"
+    return map_batches(texts, run, columns).select(
         "doc_id",
         F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_toxic_sentences",
+        "toxic_sentences",
     )

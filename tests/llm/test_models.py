@@ -32,11 +32,13 @@ def test_awkward_rows_and_labels(spark, run, label):
     docs = awkward(spark)
     kind = f"doc_id long, {label} int, text string"
     one = spark.createDataFrame([(4, 1, "clash"), (4, 0, "clash"), (None, 0, ""), (5, None, ""), (77, 1, "")], kind)
-    for labels, score in ((one.limit(0), {0.5}), (one, None), (one.where(f"{label} = 1"), {1.0})):
+    only = [spark.createDataFrame([(7, y, "clash")], kind) for y in (0, 1)]
+    assert fold(7, 3) != 1 and fold(7, 5) != 0  # held out in neither
+    for labels, score in ((one.limit(0), 0.5), (one, None), (only[0], 0.0), (only[1], 1.0)):
         rows = run(docs, labels).collect()
         assert len(rows) == docs.count()
-        if score == {0.5} and label == "quality":
-            assert {r.score for r in rows} == score
+        if score is not None:
+            assert all(abs(r.score - score) < 1e-6 for r in rows)
         assert all(0 <= r.score <= 1 for r in rows)
     assert run(none(spark), one).count() == 0
 
@@ -66,6 +68,23 @@ def test_offending_sentences_are_located():
     assert model.score(number, sentence) == 0
 
 
+def test_places_are_part_of_the_result(spark):
+    """The sentences that the query names are those that the model finds offending, and no other."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
+    named = 0
+    for r in rows:
+        places = [tuple(map(int, p.split(":"))) for p in r.toxic_sentences.split(",") if p]
+        assert len(places) == r.n_toxic_sentences
+        assert not places or r.score >= 0.5
+        if places and named < 50:
+            assert places == toxicity.offending(model, r.text)
+            assert all(model.score(*next(toxicity.sentences([r.text[a:b]]))[:2]) >= 0.5 for a, b in places)
+            named += 1
+    assert named > 20
+
+
 def test_noisy_or_training_finds_the_words():
     """Only documents are labelled; the weight settles on the word they share."""
     rng = np.random.default_rng(1)
