@@ -6,9 +6,11 @@ windows that agree.  Words are runs of letters, digits and non-ASCII characters,
 lower-cased.
 
 1. The seeds of all benchmark windows and masks, and the pairs of adjacent words
-   that every mask begins with, set bits of one fixed-size bit table.
+   that every mask begins with, set bits of one bit table.  It has ``PER_SEED`` bits a
+   seed, within 2**``BITS`` (128 KB) and 2**``MOST_BITS`` (1 MB): a benchmark of some
+   100,000 items of 15 words fits; a larger one fills the table, and the join does more.
 2. In each document row, positions whose word pair and then whose seed are in the
-   bit table (a constant of 128 KB) remain; only these leave the row, as (doc_id, place, seed).
+   bit table remain; only these leave the row, as (doc_id, place, seed).
 3. They are joined with the benchmark's seeds, and reduced map-side to one row per
    document, item and diagonal (place in the document minus place in the item).
 4. The documents so found are read again, and each diagonal is verified on the
@@ -17,10 +19,13 @@ lower-cased.
 
 By default that is ``LEAST_SCORE`` for all items.  With ``least=None``, as in the
 query and the pipeline, it depends on the item's length (``asked``): 40 % of its
-words, so that a fifth of them may be substituted, within 6 and ``LEAST_SCORE``.
-Items below 15 words then have five adjacent words as a further seed; items of 5 to
-8 words, shorter than the masks, must occur whole and unchanged, and those of 1 to
-4 words, which any text may hold, must be the document's only words.
+words, within 6 and ``LEAST_SCORE``; and an item of 9 words or more is also found where
+all but a fifth of its words stand in their places, however the others are spread.
+Items below 15 words then have two further masks, so that those of 9 to 14 words with
+a fifth of their words substituted share a seed wherever these are.  Items of 5 to 8
+words, shorter than the masks, must occur whole and unchanged, since a few of their
+words are a phrase that any text may hold; those of 1 to 4 words must be the document's
+only words.
 
 The bit table only saves work; all documents are searched whole.  No text is
 shuffled but that of documents with candidates (and, if these are too many to be
@@ -42,11 +47,13 @@ from firmweave.llm.tables import materialize
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MASKS = ("1101101011", "11100110011", "110010111")
-#: a further seed of items below SHORT words, if the score depends on the length
-SHORT_MASK = "11111"
+#: further masks of items below SHORT words, if the score depends on the length
+SHORT_MASK, LOOSE_MASK = "11111", "110011"
 SHORT = 15
 SPAN = min(map(len, MASKS))
-BITS = 20
+BITS, MOST_BITS, PER_SEED = 20, 23, 4
+#: one in so many words may be substituted anywhere
+SUBSTITUTED = 5
 LEAST_SCORE = 10
 SHARE, LOWEST = 0.4, 6
 MISS = 2
@@ -62,7 +69,7 @@ def hashes_of(text: Column) -> Column:
 
 def _seed(words: Column, at: Column, mask: int) -> Column:
     """The seed of the window at ``at`` (from 0); null past the end."""
-    shape = (*MASKS, SHORT_MASK)[mask]
+    shape = (*MASKS, SHORT_MASK, LOOSE_MASK)[mask]
     kept = [k for k, c in enumerate(shape) if c == "1"]
     seed = F.xxhash64(F.lit(mask), *[F.get(words, at + k) for k in kept])
     return F.when(F.size(words) >= at + len(shape), seed)
@@ -83,9 +90,9 @@ def _pair(words: Column, at: Column) -> Column:
     return F.xxhash64(F.lit(-1), F.get(words, at), F.get(words, at + 1))
 
 
-def _bit(table: Column, value: Column) -> Column:
+def _bit(table: Column, bits: int, value: Column) -> Column:
     """Whether the bit of a hash is set in a table of 64-bit numbers."""
-    at = value.bitwiseAND(F.lit((1 << BITS) - 1))
+    at = value.bitwiseAND(F.lit((1 << bits) - 1))
     word = F.get(table, F.shiftright(at, 6).cast("int"))
     # the bit of a place: a look-up is cheaper than a shift by a column
     return F.call_function("getbit", word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
@@ -104,6 +111,8 @@ def item_seeds(benchmark: DataFrame, by_length: bool = False) -> DataFrame:
         # items below the masks' span must match from their first word on
         due = (F.size("w") < SHORT) & ((F.size("w") >= SPAN) | (F.col("at") == 0))
         seeds.append(F.when(due, _seed(F.col("w"), F.col("at"), len(MASKS))))
+        due = (F.size("w") < SHORT) & (F.size("w") >= SPAN)
+        seeds.append(F.when(due, _seed(F.col("w"), F.col("at"), len(MASKS) + 1)))
     found = places.select(
         "item_id", F.size("w").alias("n_words"), "at", _pair(F.col("w"), F.col("at")).alias("pair"),
         F.explode(F.array_compact(F.array(*seeds))).alias("seed"),
@@ -118,23 +127,25 @@ def item_seeds(benchmark: DataFrame, by_length: bool = False) -> DataFrame:
     )
 
 
-def bit_table(seeds: DataFrame) -> Column:
-    """2**BITS bits as a constant array of 64-bit numbers: 128 KB, whatever the benchmark."""
+def bit_table(seeds: DataFrame) -> tuple[Column, int]:
+    """A constant array of 64-bit numbers, and how many bits (a power of two) it has."""
+    wanted = PER_SEED * seeds.count()
+    size = min(MOST_BITS, max(BITS, wanted.bit_length()))
     bits = seeds.select(F.explode(F.array("pair", "seed")).alias("h")).select(
-        F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).alias("h")
+        F.col("h").bitwiseAND(F.lit((1 << size) - 1)).alias("h")
     )
-    words = [0] * (1 << (BITS - 6))
+    words = [0] * (1 << (size - 6))
     for part in bits.groupBy(F.shiftright("h", 6).cast("int").alias("i")).agg(
         F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("word")
     ).collect():
         words[part.i] = part.word
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), size
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, by_length: bool = False) -> DataFrame:
     """(doc_id, item_id, n_words, diagonal) of every pair that shares a seed."""
     seeds = materialize(item_seeds(benchmark, by_length), "seeds")
-    bits = bit_table(seeds)
+    bits, size = bit_table(seeds)
     # evaluated once a row: the optimizer would copy them into each use, down to
     # the lambdas that run for each position
     w = F.col("w")
@@ -142,17 +153,17 @@ def candidates(docs: DataFrame, benchmark: DataFrame, by_length: bool = False) -
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), w=hashes_of(F.col("text").cast("string"))
     ).select("doc_id", "w")
     tiny = F.size(w) < len(SHORT_MASK)
-    paired = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, _pair(w, at)))
+    paired = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda at: _bit(bits, size, _pair(w, at)))
     places = with_once(
         hashed.where(F.size(w) > (0 if by_length else 1)),
         places=F.when(tiny, F.array(F.lit(0))).otherwise(paired) if by_length else paired,
     ).select("doc_id", "w", "places")
-    masks = range(len(MASKS) + by_length)
+    masks = range(len(MASKS) + 2 * by_length)
     met = F.flatten(F.transform(
         "places",
         lambda at: F.filter(
             F.array(*[F.struct(at.alias("at"), _seed(w, at, m).alias("seed")) for m in masks]),
-            lambda s: s["seed"].isNotNull() & _bit(bits, s["seed"]),
+            lambda s: s["seed"].isNotNull() & _bit(bits, size, s["seed"]),
         ),
     ))
     if by_length:
@@ -184,7 +195,8 @@ def _best_run(a: Column, b: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int | None = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score) of documents that hold a passage of an item.
 
-    ``least`` is the score asked for; None asks by the item's length.
+    ``least`` is the score asked for; None asks by the item's length.  ``score`` is the best
+    run's, also where the number of equal words decides.
     """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -204,15 +216,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int | None = LEAST_SC
     words = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").alias("words_id"), hashes_of(F.col("text")).alias("item_words")
     )
+    across = F.slice("item_words", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("own"))
     scored = aligned.join(words, F.col("item_id") == F.col("words_id")).select(
         "doc_id", "item_id", "n_words",
-        _best_run(
-            F.col("own"),
-            F.slice("item_words", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("own")),
-        ).alias("score"),
+        _best_run(F.col("own"), across).alias("score"),
+        F.size(F.filter(F.zip_with("own", across, lambda x, y: x == y), lambda same: same)).alias("equal"),
     )
-    enough = asked(F.col("n_words")) if least is None else F.lit(least)
-    return scored.where(F.col("score") >= enough).groupBy("doc_id", "item_id").agg(
+    enough = F.col("score") >= (asked(F.col("n_words")) if least is None else F.lit(least))
+    if least is None:
+        all_but = F.col("n_words") - F.floor(F.col("n_words") / SUBSTITUTED)
+        enough = enough | ((F.col("n_words") >= SPAN) & (F.col("equal") >= all_but))
+    return scored.where(enough).groupBy("doc_id", "item_id").agg(
         F.max("score").cast("long").alias("score")
     )
 
