@@ -2,9 +2,10 @@
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased.  A
 rule is a regular expression over a text's words joined by single spaces.  The
-rules are the base phrases, and for every licence its signatures from the surest
-(an SPDX tag) to the vaguest (its bare name), each with a priority and a
-confidence.  Most texts name no licence: a keyword prefilter decides which texts
+rules are the base phrases; ``BODIES``, written by hand from the wording of licence texts
+and of the notices that files bear; and for every name of ``LICENCES`` the forms of
+``TEMPLATES`` from the surest (an SPDX tag) to the vaguest (its bare name), each with a
+priority and a confidence.  Most texts name no licence: a keyword prefilter decides which texts
 are normalised at all, and which licences' rules are tried on them.
 
 A detection is an interval of words.  It is suppressed if one of higher priority
@@ -117,6 +118,74 @@ TEMPLATES = (
 )
 BASE_PRIORITY, BASE_CONFIDENCE = 1, 0.95
 
+# Wording of licence texts and of the notices that files bear, in joined words.
+# label, keyword, pattern
+BODIES = (
+    ("mit", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("ncsa", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions redistributions"),
+    ("json", " not evil ", "the software shall be used for good not evil"),
+    ("isc", " hereby granted ", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("bsd-0", " hereby granted ", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("hpnd", " hereby granted ", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("postgresql", " hereby granted ", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("boost-1", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", "reproduce the above copyright", "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided"),
+    ("bsd-3", "reproduce the above copyright", "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution (?:3 )?neither the names?"),
+    ("bsd-4", "reproduce the above copyright", "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution (?:3 )?all advertising materials"),
+    ("apache-2", "in compliance with the license", "you may not use (?:this file|these files|this work|this software|this project) except in compliance with the license"),
+    ("apache-2", "on an as is basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "terms and conditions for use", "apache license version 2 0 january 2004(?: https? www apache org licenses)? terms and conditions for use reproduction and distribution"),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("openssl", "openssl project", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("gpl-3", "general public", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", "general public", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-1", "general public", "gnu general public license as published by the free software foundation either version 1"),
+    ("gpl-3", "general public", "gnu general public license version 3(?: only)? as published by the free software foundation"),
+    ("gpl-2", "general public", "gnu general public license version 2(?: only)? as published by the free software foundation"),
+    ("gpl-3", "copyleft license", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", "general public", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license"),
+    ("lgpl-3", "general public", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "general public", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-2", "general public", "gnu (?:library|lesser) general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-3", "general public", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("lgpl-2.1", " lesser gpl ", "this is the first released version of the lesser gpl it also counts as the successor of the gnu library public license version 2"),
+    ("agpl-3", "affero", "gnu affero general public license as published by the free software foundation(?: either)? version 3"),
+    ("agpl-3", "affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl-1.3", "free documentation", "modify this document under the terms of the gnu free documentation license version 1 3"),
+    ("gfdl-1.2", "free documentation", "modify this document under the terms of the gnu free documentation license version 1 2"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("epl-2", "eclipse", "materials are made available under the terms of the eclipse public license (?:v|version )? ?2 0"),
+    ("epl-1", "eclipse", "materials are made available under the terms of the eclipse public license v ?1 0"),
+    ("epl-2", "eclipse", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cddl-1.0", "common development", "the contents of this file are subject to the terms of (?:either the gnu general public license version 2 only gpl or )?the common development and distribution license"),
+    ("zlib", "held liable", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("artistic-2", "free software package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("artistic-1", "artistic control", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("python-2", "python software", "this license agreement is between the python software foundation"),
+    ("php-3", "php license", "this source file is subject to version 3 (?:0|01|0 1) of the php license"),
+    ("ms-pl", "accompanying software", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ofl-1.1", "open font", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("odbl-1", "database", "the open database license odbl is a license agreement intended to allow users to freely share modify and use this database"),
+    ("cc0-1", "dedicated the work", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license"),
+    ("cc-by-sa", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution sharealike 4 0 international public license"),
+    ("cc-by-nd", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution noderivatives 4 0 international public license"),
+    ("cc-by-nc", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution noncommercial 4 0 international public license"),
+    ("cc-by-nc-sa", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution noncommercial sharealike 4 0 international public license"),
+    ("cc-by-nc-nd", "licensed rights", "agree to be bound by the terms and conditions of this creative commons attribution noncommercial noderivatives 4 0 international public license"),
+    ("busl-1.1", "non production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2", "managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "licensor", "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("beerware", "retain this notice", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("cecill", "cecill", "this software is governed by the cecill(?: [abc])? license under french law"),
+)
+BODY_PRIORITY, BODY_CONFIDENCE = 1, 0.95
+
 
 def rules() -> list[tuple[int, bool, str, str, int, float, str]]:
     """(order, base, label, keyword, priority, confidence, pattern) of every rule."""
@@ -124,6 +193,9 @@ def rules() -> list[tuple[int, bool, str, str, int, float, str]]:
         (True, label, " " + phrase + " ", BASE_PRIORITY, BASE_CONFIDENCE, phrase)
         for label, phrase in BASE_PHRASES
     ]
+    found += [
+        (False, label, keyword, BODY_PRIORITY, BODY_CONFIDENCE, pattern) for label, keyword, pattern in BODIES
+    ]
     for label, spdx, keyword, name, telling in LICENCES:
         for priority, confidence, pattern, needs in TEMPLATES:
             if needs and not telling:
@@ -139,7 +211,12 @@ def _gate(text: Column) -> Column:
     Phrases whose parts may be separated by anything are met by their rarest word.
     """
     low = F.lower(text)
-    words = "licen", "apache", "spdx", "gpl", "wtfpl", "eupl", "cddl", "odbl", "pddl", "cc0", "bsd"
+    words = (
+        "licen", "apache", "spdx", "gpl", "wtfpl", "eupl", "cddl", "odbl", "pddl", "cc0", "bsd",
+        # a rare word of each body that needs none of these
+        "hereby", "redistribution", "binary", "unencumbered", "openssl", "warranty", "evil",
+        "semblance", "dedicated", "hosted", "stuff",
+    )
     hit = F.contains(low, F.lit(words[0]))
     for word in words[1:]:
         hit = hit | F.contains(low, F.lit(word))
