@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalog import views as V
 from firmweave import schemas as S
 from firmweave.functions.display import percent
+from firmweave.functions.once import with_once
 from firmweave.operators import (
     audit, keyed, merging, paging, pivots, providers, records, search, validation,
 )
@@ -480,22 +481,17 @@ def e1_complete_records(spark, sf):
 
 @query
 def e2_step_logs(spark, sf):
+    texts = ("company_name", "error", "traceback", "has_gaps", "had_fallback", "total_fields", "reason")
+    lists = ("sources_queried", "fields_populated", "missing_fields", "fields_filled")
+    schema = ", ".join([*(f"{c} string" for c in texts), *(f"{c} array<string>" for c in lists)])
     logs = completion.derive_logs(trace(spark, sf), now=now())
-    at = lambda path: F.get_json_object("payload", path)
-    return logs.select(
+    # each payload is parsed once, not once for each column
+    read = with_once(logs, doc=F.from_json("payload", schema))
+    return read.select(
         "request_id", "seq", "step_name", "status",
         F.coalesce(F.length("payload") > 0, F.lit(False)).alias("has_payload"),
-        at("$.company_name").alias("company_name"),
-        at("$.error").alias("error"),
-        at("$.traceback").alias("traceback"),
-        at("$.has_gaps").alias("has_gaps"),
-        at("$.had_fallback").alias("had_fallback"),
-        at("$.total_fields").alias("total_fields"),
-        at("$.reason").alias("reason"),
-        joined(F.from_json(at("$.sources_queried"), "array<string>")).alias("sources_queried"),
-        joined(F.from_json(at("$.fields_populated"), "array<string>")).alias("fields_populated"),
-        joined(F.from_json(at("$.missing_fields"), "array<string>")).alias("missing_fields"),
-        joined(F.from_json(at("$.fields_filled"), "array<string>")).alias("fields_filled"),
+        *[F.col(f"doc.{c}").alias(c) for c in texts],
+        *[joined(f"doc.{c}").alias(c) for c in lists],
     )
 
 
