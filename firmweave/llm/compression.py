@@ -90,8 +90,8 @@ def base_counts(run: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
     """The base counts of each text, in the order of ``COUNTS``."""
     words = Words(run)
     buffer = words.buffer
-    points = np.concatenate([[0], np.cumsum(((buffer & 0xC0) != 0x80) & ~SPACE[buffer])])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[buffer])])
+    points = ((buffer & 0xC0) != 0x80) & ~SPACE[buffer]
+    symbols = _SYMBOL[buffer]
     number = windows(words.number, WINDOW, 3)
     for i, raw in enumerate(run):
         a, b = int(words.offset[i]), int(words.offset[i + 1])
@@ -99,8 +99,8 @@ def base_counts(run: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         n = last - first
         yield (
             n,
-            int(points[b] - points[a]),
-            int(symbols[b] - symbols[a]),
+            int(np.count_nonzero(points[a:b])),
+            int(np.count_nonzero(symbols[a:b])),
             dup_lines(raw),
             repeat_words(number[first : last - WINDOW + 1], n) if n > WINDOW else 0,
         )

@@ -37,18 +37,21 @@ def constants(n: int, seed: int) -> np.ndarray:
 _BYTES = constants(256, 1)
 _FOLDED = _BYTES.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: bytes whose words are numbered at once: what is held beside a text does not grow with it
+BLOCK = 1 << 18
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the process."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for place, factor in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, factor, dtype=U)
-            table[0] = 1
-            _POWERS[place] = np.multiply.accumulate(table)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    tables = []
+    for factor in (_BASE, _BASE_INVERSE):
+        table = np.full(2 * BLOCK, factor, dtype=U)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
+
+
+_UP, _DOWN = _powers()
 
 
 class Words:
@@ -68,20 +71,43 @@ class Words:
         if inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        up, self._down = _powers(len(raw))
-        with np.errstate(over="ignore"):
-            self._total = np.cumsum((_FOLDED if fold else _BYTES)[self.buffer] * up)
+        self._values = _FOLDED if fold else _BYTES
         self.number = self._numbers(self.end)
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.start, self.offset)
 
     def _numbers(self, end: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, U)
-        with np.errstate(over="ignore"):
-            before = np.where(self.start > 0, self._total[self.start - 1], U(0))
-            return mix((self._total[end - 1] - before) * self._down[self.start])
+        """The numbers of the words up to ``end``, block by block."""
+        out = np.empty(len(self.start), U)
+        first = 0
+        while first < len(out):
+            low = int(self.start[first])
+            last = int(np.searchsorted(self.start, low + BLOCK))
+            if int(end[last - 1]) - low > 2 * BLOCK:  # the last one goes on beyond the block
+                last -= 1
+                if last == first:
+                    out[first] = self._long(low, int(end[first]))
+                    first += 1
+                    continue
+            begins, ends = self.start[first:last] - low, end[first:last] - low
+            with np.errstate(over="ignore"):
+                values = self._values[self.buffer[low : low + int(ends[-1])]]
+                total = np.cumsum(values * _UP[: len(values)])
+                before = np.where(begins > 0, total[begins - 1], U(0))
+                out[first:last] = (total[ends - 1] - before) * _DOWN[begins]
+            first = last
+        return mix(out)
+
+    def _long(self, low: int, high: int) -> int:
+        """The sum of one word that is longer than a block."""
+        total = 0
+        for at in range(low, high, BLOCK):
+            values = self._values[self.buffer[at : min(high, at + BLOCK)]]
+            with np.errstate(over="ignore"):
+                part = int((values * _UP[: len(values)]).sum())
+            total += part * pow(_BASE, at - low, 1 << 64)
+        return total % (1 << 64)
 
     def prefix(self, size: int) -> np.ndarray:
         """The numbers of the words' first ``size`` bytes; all of a shorter word."""

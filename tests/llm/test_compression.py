@@ -102,3 +102,18 @@ def test_good_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = compression.quality_rules(docs).join(labels, "doc_id").where("quality = 1 AND NOT base_failed").collect()
     assert sum(r.kept for r in rows) >= 0.99 * len(rows)
+
+
+def test_words_are_numbered_alike_in_any_blocks(monkeypatch):
+    """Numbers do not depend on the block size, nor on words longer than a block."""
+    from firmweave.llm import wordhash
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abCé1.", k=rng.randint(1, 9))) for _ in range(n)).encode() for n in (0, 3, 4000)]
+    texts += [b"x" * 70_000 + b" y " + b"z" * 5000, b"w" * 40_000]
+    whole = [(w.number, w.prefix(4), w.first) for fold in (False, True) for w in [wordhash.Words(texts, fold)]]
+    monkeypatch.setattr(wordhash, "BLOCK", 1 << 10)
+    parts = [(w.number, w.prefix(4), w.first) for fold in (False, True) for w in [wordhash.Words(texts, fold)]]
+    assert all((a == b).all() for x, y in zip(whole, parts) for a, b in zip(x, y))
+    alone = [wordhash.Words([t]).number for t in texts]
+    assert (whole[0][0] == [n for own in alone for n in own]).all()
