@@ -196,11 +196,11 @@ def decide_gaps(df: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """
     if verdicts is None:
         return df.withColumn("missing_fields", F.when(F.size("gaps") > 0, F.col("gaps")))
-    found = verdicts.select(
-        "request_id", F.col("content").alias("_content"), V.parse(F.col("content")).alias("_doc")
-    )
+    # text is joined; only what some gap asks for is parsed
+    found = verdicts.select("request_id", F.col("content").alias("_content"))
+    joined = df.join(found, "request_id", "left")
     return (
-        df.join(found, "request_id", "left")
+        with_once(joined, _doc=V.parse(F.when(F.size("gaps") > 0, F.col("_content"))))
         .withColumn(
             "missing_fields", confirmed_gaps(F.col("gaps"), F.col("_content"), F.col("_doc"))
         )
@@ -251,15 +251,18 @@ def attach_responses(
     Adds ``extraction`` and ``fill_error``.  A missing or invalid response
     fails the record (``on_missing='keep'`` lets a missing one pass unfilled).
     """
-    checked = check_extractions(responses.select("request_id", "content")).select(
-        "request_id",
-        "extraction",
-        F.array_join("errors", "; ").alias("_why"),
-        F.lit(True).alias("_answered"),
+    # text is joined; only the responses that some gap asked for are checked
+    answers = responses.select(
+        "request_id", F.col("content").alias("_response"), F.lit(True).alias("_answered")
+    )
+    joined = gapped.join(answers, "request_id", "left")
+    own = {"errors": "_own_errors"} if "errors" in gapped.columns else {}
+    checked = check_extractions(joined.withColumnsRenamed(own), "_response").withColumn(
+        "_why", F.array_join("errors", "; ")
     )
-    joined = gapped.join(checked, "request_id", "left")
-    return joined.withColumn("fill_error", fill_error(joined, on_missing)).drop(
-        "_why", "_answered"
+    checked = checked.drop("errors").withColumnsRenamed({v: k for k, v in own.items()})
+    return checked.withColumn("fill_error", fill_error(checked, on_missing)).drop(
+        "_why", "_answered", "_response"
     )
 
 
