@@ -4,8 +4,12 @@ Template.  A turn is ``<|im_start|>`` role ``<|im_sep|>`` text ``<|im_end|>``.
 text a backslash is doubled, and a backslash goes behind the first character of each
 control string (``CONTROLS``), so that none of them occurs but the template's own; taking
 each ``\\\\`` for ``\\`` and dropping single backslashes gives back the text.  The loss mask
-covers the escaped text of the turns whose role is ``assistant``.  The tokens that
-positions and intervals count are code points of the formatted text.
+covers the escaped text of the turns whose role is ``assistant``.
+
+Tokens.  Each formatted turn is a token sequence of its own, so that conversations that
+share turns share tokens: those of the given tokenizer file (``tokenizers`` format,
+without added special tokens), or code points where none is given.  Lengths, starts,
+position ids and intervals count tokens.
 
 Prefix tree.  A node stands for a turn and all turns before it, named by a digest chained
 over them, so conversations that begin alike share nodes.  Nobody builds the tree
@@ -22,8 +26,9 @@ are the ancestor intervals of the nodes it owns.  Nodes that are part of more th
   start (place in the stream), position (position id of the first token), length,
   ancestors (intervals [from, to) of the stream that every token of the segment may
   attend to, besides those ahead of it in the segment), loss_from and loss_to (the mask in
-  the segment, or null), conversations (how many share it), owner (the one that emits it),
-  text (formatted);
+  the text, in code points, or null), conversations (how many share it), owner (the one
+  that emits it), text (formatted), and with a tokenizer tokens (ids), loss_tokens_from and
+  loss_tokens_to (the tokens that lie in the mask);
 - members: conv_id, place, node_id, the turns of each conversation.
 ``read_back`` parses the text of each conversation out of these two.
 
@@ -46,7 +51,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from firmweave.llm.ordering import running
 from firmweave.llm.tables import map_batches, materialize
@@ -115,12 +120,79 @@ def _formatted(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN), escaped(role), F.lit(SEP), escaped(text), F.lit(END))
 
 
-def _steps(turns: DataFrame) -> DataFrame:
+_loaded: dict[str, object] = {}
+
+
+def _encoded(path: str, texts: list[str]) -> list:
+    """The encodings of some texts; a worker loads a tokenizer once."""
+    if path not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path].no_truncation()
+        _loaded[path].no_padding()
+    return _loaded[path].encode_batch(texts, add_special_tokens=False)
+
+
+def _with_lengths(pieces: DataFrame, path: str) -> DataFrame:
+    """``pieces`` with the column ``piece`` replaced by ``length``, its number of tokens."""
+    kept = [f for f in pieces.schema.fields if f.name != "piece"]
+    schema = T.StructType([*kept, T.StructField("length", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _encoded(path, batch.column(batch.schema.get_field_index("piece")).to_pylist())
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([len(e.ids) for e in found], pa.int64())], names=schema.names
+            )
+
+    return map_batches(pieces, run, schema)
+
+
+def _with_token_ids(segments: DataFrame, path: str) -> DataFrame:
+    """``segments`` with tokens and the tokens of the mask."""
+    schema = T.StructType([
+        *segments.schema.fields,
+        T.StructField("tokens", T.ArrayType(T.IntegerType())),
+        T.StructField("loss_tokens_from", T.LongType()),
+        T.StructField("loss_tokens_to", T.LongType()),
+    ])
+    names = segments.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, ends, texts = (
+                batch.column(names.index(c)).to_pylist() for c in ("loss_from", "loss_to", "text")
+            )
+            encodings = _encoded(path, texts)
+            spans = []
+            for begin, end, e in zip(begins, ends, encodings):
+                inside = [] if begin is None else [
+                    k for k, (a, b) in enumerate(e.offsets) if a >= begin and b <= end and a < b
+                ]
+                spans.append((inside[0], inside[-1] + 1) if inside else (None, None))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array([e.ids for e in encodings], pa.list_(pa.int32())),
+                    pa.array([a for a, _ in spans], pa.int64()),
+                    pa.array([b for _, b in spans], pa.int64()),
+                ],
+                names=schema.names,
+            )
+
+    return map_batches(segments, run, schema)
+
+
+def _steps(turns: DataFrame, tokenizer: str | None) -> DataFrame:
     """The turns of each conversation in order, chained: a row per turn, without texts."""
-    narrow = turns.select(
-        "conv", "conv_id", "turn", "role", "digest",
-        F.char_length(_formatted(F.col("role"), F.col("text"))).cast("long").alias("length"),
-    )
+    piece = _formatted(F.col("role"), F.col("text"))
+    named = ["conv", "conv_id", "turn", "role", "digest"]
+    if tokenizer is None:
+        narrow = turns.select(*named, F.char_length(piece).cast("long").alias("length"))
+    else:
+        narrow = _with_lengths(turns.select(*named, piece.alias("piece")), tokenizer)
     ordered = narrow.repartition("conv").sortWithinPartitions("conv", "turn", "role", "digest")
     names = ["conv", "conv_id", "digest", "place", "node", "parent", "tree", "position", "length", "path"]
     schema = (
@@ -215,10 +287,13 @@ def _intervals(placed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def format_conversations(conversations: DataFrame) -> Formatted:
-    """The segments of the depth-first stream, and which of them make up each conversation."""
+def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> Formatted:
+    """The segments of the depth-first stream, and which of them make up each conversation.
+
+    ``tokenizer`` is the path of a tokenizer file that every machine can read.
+    """
     turns = _turns(conversations)
-    steps = _steps(turns)
+    steps = _steps(turns, tokenizer)
     ends = steps.where("path IS NOT NULL")
     paths = ends.groupBy("path").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
     ranked = running(paths, ["path"]).select("conv", "copies", F.col("before").alias("rank"))
@@ -236,19 +311,20 @@ def format_conversations(conversations: DataFrame) -> Formatted:
     texts = turns.groupBy("conv", "digest").agg(F.first("role").alias("role"), F.first("text").alias("body"))
     head = F.char_length(F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SEP))).cast("long")
     masked = F.col("role") == TRAINED_ROLE
-    segments = materialize(
-        index.join(texts, ["conv", "digest"]).select(
-            F.col("node").alias("node_id"), F.col("parent").alias("parent_id"),
-            F.col("tree").alias("tree_id"), F.col("conv").alias("owner"),
-            F.col("place").alias("depth"), "start", "position",
-            "length", "ancestors",
-            F.when(masked, head).alias("loss_from"),
-            F.when(masked, F.col("length") - len(END)).alias("loss_to"),
-            "conversations",
-            _formatted(F.col("role"), F.col("body")).alias("text"),
-        ),
-        "chat-segments",
+    text = _formatted(F.col("role"), F.col("body"))
+    segments = index.join(texts, ["conv", "digest"]).select(
+        F.col("node").alias("node_id"), F.col("parent").alias("parent_id"),
+        F.col("tree").alias("tree_id"), F.col("conv").alias("owner"),
+        F.col("place").alias("depth"), "start", "position",
+        "length", "ancestors",
+        F.when(masked, head).alias("loss_from"),
+        F.when(masked, F.char_length(text).cast("long") - len(END)).alias("loss_to"),
+        "conversations",
+        text.alias("text"),
     )
+    if tokenizer is not None:
+        segments = _with_token_ids(segments, tokenizer)
+    segments = materialize(segments, "chat-segments")
     members = steps.select("conv", "conv_id", "place", F.col("node").alias("node_id"))
     return Formatted(segments, members)
 
@@ -271,10 +347,10 @@ def read_back(formatted: Formatted) -> DataFrame:
     Columns: conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn),
     loss_chars and loss_sha256 (code points and digest of the text under the mask,
     unescaped), formatted_chars.  A segment that is not one whole turn of the template, or
-    whose position id is not the length of what comes before, is an error.
+    whose position id is not the number of tokens that come before, is an error.
     """
     members, segments = formatted.members, formatted.segments
-    told = ["position", "loss_from", "loss_to", "text"]
+    told = ["position", "length", "loss_from", "loss_to", "text"]
     own = segments.select(F.col("owner").alias("conv"), F.col("depth").alias("place"), *told)
     borrowed = _meet(
         members.withColumnRenamed("node_id", "node"),
@@ -304,20 +380,22 @@ def read_back(formatted: Formatted) -> DataFrame:
             )
 
         def closed() -> tuple:
-            conv_id, n, whole, masked, shown, size = state
+            conv_id, n, whole, masked, shown, size, _ = state
             return conv_id, n, whole.hexdigest(), shown, masked.hexdigest(), size
 
         for batch in batches:
             out = []
-            for key, position, start, stop, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, position, length, start, stop, text in zip(
+                *(c.to_pylist() for c in batch.columns)
+            ):
                 if state is None or key != conv:
                     if state is not None:
                         out.append(closed())
-                    conv, state = key, [int(key) if key else None, 0, hashlib.sha256(), hashlib.sha256(), 0, 0]
+                    conv, state = key, [int(key) if key else None, 0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
                 role, mark, body = text.removeprefix(TURN).partition(SEP)
                 if not (text.startswith(TURN) and mark and body.find(END) == len(body) - len(END)):
                     raise ValueError("not a turn of the template")
-                if position != state[5]:
+                if position != state[6]:
                     raise ValueError("a position id does not follow what comes before")
                 turn = f"{unescaped(role)}\n{unescaped(body.removesuffix(END))}\n"
                 state[1] += 1
@@ -327,6 +405,7 @@ def read_back(formatted: Formatted) -> DataFrame:
                     state[3].update(learnt.encode())
                     state[4] += len(learnt)
                 state[5] += len(text)
+                state[6] += length
             yield packed(out)
         if state is not None:
             yield packed([closed()])

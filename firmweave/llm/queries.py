@@ -99,9 +99,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     planted = spark.createDataFrame(
         [(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)],
         "conv_id long, turn long, role string, text string",
     )
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_conversations(given.unionByName(planted)))
+    made = chat.format_conversations(
+        given.unionByName(planted), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return chat.read_back(made)

@@ -115,6 +115,38 @@ def test_hot_nodes_get_several_keys(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_with_a_tokenizer(spark):
+    """Tokens stand once, conversations read as their turns' tokens, and the mask holds the learnt text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain_tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", rng.choice(["Hello there", "é \\ <s>", "", "forty two words"]))
+            for c in range(40) for k in range(1 + c % 5)]
+    made = chat.format_conversations(frame(spark, rows).repartition(3), path)
+    assert collected(chat.read_back(made)) == plain(rows)
+    segments = sorted(chat.with_tokens(made.segments).collect(), key=lambda r: r.start)
+    stream = [t for r in segments for t in r.tokens]
+    nodes = {bytes(r.node_id): r for r in segments}
+    for r in segments:
+        assert r.start + r.length <= len(stream) and stream[r.start:r.start + r.length] == r.tokens
+        assert r.tokens == plain_tokenizer.encode(r.text, add_special_tokens=False).ids
+        above, at = [], r
+        while at is not None:
+            above = at.tokens + above
+            at = nodes[bytes(at.parent_id)] if at.parent_id else None
+        assert [t for a in r.attention for t in stream[a["from"]:a["to"]]] == above
+        assert r.position_ids == list(range(len(above) - r.length, len(above)))
+        if r.loss_tokens_from is not None:
+            offsets = plain_tokenizer.encode(r.text, add_special_tokens=False).offsets
+            begin, end = offsets[r.loss_tokens_from][0], offsets[r.loss_tokens_to - 1][1]
+            assert r.text[begin:end].strip() == r.text[r.loss_from:r.loss_to].strip()
+    assert any(r.loss_tokens_from is not None for r in segments)
+    assert sum(r.length for r in segments) == len(stream)
+
+
 def test_given_conversations(spark):
     given_rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = [tuple(r) for r in given_rows.collect()]
