@@ -748,7 +748,10 @@ _BODIES["x4_embedding_never_fails"] = f"""
       SELECT request_id AS lead_id, {_SUMMARY} AS content_summary, vec_id IS NULL AS is_zero
       FROM outcome LEFT JOIN embeddings ON request_id = vec_id
       WHERE valid AND fill_error IS NULL"""
-_BODIES["e1_embeddings"] = _BODIES["x4_embedding_never_fails"]
+_CHECKSUM = "list_sum(list_transform(embedding, lambda v, i: i * CAST(floor(CAST(v AS DOUBLE) * 1048576) AS BIGINT)))"
+_BODIES["e1_embeddings"] = f"""
+      SELECT x.*, CAST(CASE WHEN is_zero THEN 0 ELSE {_CHECKSUM} END AS BIGINT) AS checksum
+      FROM ({_BODIES["x4_embedding_never_fails"]}) x LEFT JOIN embeddings ON lead_id = vec_id"""
 _BODIES["a2_status_of_completed"] = """
       SELECT request_id,
              CASE WHEN valid AND fill_error IS NULL THEN 'completed' ELSE 'failed' END AS status

@@ -46,6 +46,14 @@ def pairs(column: str | Column, first: str, second: str) -> Column:
     )
 
 
+def checksum(column: str) -> Column:
+    """A vector as one exact number: places times values in units of 2**-20."""
+    return F.expr(
+        f"aggregate(transform({column}, (v, i) -> (i + 1) * CAST(floor(CAST(v AS DOUBLE) * 1048576) AS BIGINT)), "
+        "0L, (a, x) -> a + x)"
+    )
+
+
 def tagged(tag: str, df: DataFrame, column: str = "part") -> DataFrame:
     return df.withColumn(column, F.lit(tag))
 
@@ -531,7 +539,8 @@ def e1_changed_only(spark, sf):
 def e1_embeddings(spark, sf):
     vectors = V.embeddings(spark, sf).select("lead_id", "embedding")
     return completion.embeddings_of(trace(spark, sf), vectors, now(), dim=64).select(
-        "lead_id", "content_summary", F.forall("embedding", lambda v: v == 0).alias("is_zero")
+        "lead_id", "content_summary", F.forall("embedding", lambda v: v == 0).alias("is_zero"),
+        checksum("embedding").alias("checksum"),
     )
 
 

@@ -126,6 +126,19 @@ def test_inserted_rows_get_keys(spark):
     assert rows == [("a", 1, "x"), ("b", 7, "new"), ("c", 8, "w"), ("d", 9, "v")]
 
 
+def test_intake_makes_ids_and_times(spark):
+    """Without a key each row gets an id of its own, and without a time the present one."""
+    from datetime import datetime, timedelta
+
+    begun = datetime.now() - timedelta(seconds=5)
+    with materialized(sinks.intake(spark.createDataFrame([("{}",)] * 50, "raw_input string")), "intake") as leads:
+        rows = leads.collect()
+    assert len({r.request_id for r in rows}) == 50 and all(r.id == r.request_id for r in rows)
+    assert all(len(r.request_id) == 36 and r.request_id[14] == "4" for r in rows)
+    assert {r.status for r in rows} == {"pending"}
+    assert all(begun <= r.created_at <= datetime.now() and r.created_at == r.updated_at for r in rows)
+
+
 def test_a_run_written_again_replaces_itself(spark, tmp_path):
     """Rows that look alike within a run, and the same rows of another run, have ids of their own."""
     steps = spark.createDataFrame(
