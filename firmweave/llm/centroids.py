@@ -39,8 +39,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SCALE = 1024
-#: most centroids that may be asked for: they travel with each task
-CENTROIDS = 65_536
+#: most centroids that may be asked for: they travel with each task, and their sums to the driver
+CENTROIDS = 4096
 #: components below this keep squared distances of up to 512 components within 63 bits
 NARROW = 2**26
 #: sums travel in parts of so many bits, so that a long adds up those of 2^31 tasks
@@ -194,11 +194,12 @@ def trained(vectors: DataFrame, count: int, rounds: int, dim: int, seed: int) ->
     """The centroids after ``rounds`` assignments and updates; empty ones stay."""
     centroids = first_centroids(vectors, count, dim, seed)
     for _ in range(rounds if centroids else 0):
-        before = centroids
+        after = list(centroids)
         for k, (n, _, sums) in summed(vectors, centroids, dim).items():
-            centroids = [*centroids[:k], [s // n for s in sums], *centroids[k + 1:]]
-        if centroids == before:  # all further rounds are the same
+            after[k] = [s // n for s in sums]
+        if after == centroids:  # all further rounds are the same
             break
+        centroids = after
     return centroids
 
 
