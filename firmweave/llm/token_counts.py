@@ -1,13 +1,14 @@
 """Token counts by a map-side two-tier lookup of pre-token lengths.
 
 A text is cut at ASCII white space, which the tokenizer drops and never crosses,
-so the tokens of a text are those of its pieces.  Tier one is a compact table of
+so the tokens of a text are those of its pieces; a piece may hold several of the
+tokenizer's pre-tokens ("word," is one of its own).  Tier one is a compact table of
 the lengths of frequent pieces, found by counting pieces of all documents
 map-side (a task forwards its ``TASK_PIECES`` most frequent ones, not the pieces)
 and broadcast; it holds ``TABLE_PIECES`` entries whatever the input.  Tier two is
 each worker's own cache of pieces that it had to encode.  Both only save work:
-every length is what the tokenizer gives, whether or not it was looked up.  No
-piece and no text is shuffled.
+every length is what the tokenizer gives, whether or not it was looked up.  No text
+is shuffled, and of the pieces only the ``TASK_PIECES`` a task that may enter the table.
 
 Defined cases: missing or empty text -> 0 bytes, 0 tokens; special strings inside
 a text count as the library has them by default; pieces longer than
