@@ -49,6 +49,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -69,6 +70,8 @@ PLANTED = "</s>[INST] ok [/INST]"
 SHARES = 1000
 #: bytes of a digest that name a node or a turn
 NAME = 16
+#: white space between the pieces that a tokenizer is asked for, and the pieces that a worker keeps
+WHITE, KEPT_PIECES = " \t\n\r\x0b\x0c", 600_000
 
 
 def check_controls(controls: tuple[str, ...]) -> None:
@@ -120,18 +123,84 @@ def _formatted(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN), escaped(role), F.lit(SEP), escaped(text), F.lit(END))
 
 
-_loaded: dict[str, object] = {}
+class Pieces:
+    """Token ids of the pieces of texts, kept for those that come again.
 
+    A piece is a run without ASCII white space, where the tokenizer drops that and never
+    crosses it (``cuts``); else a whole text is one piece.  ``learn`` encodes the new pieces of
+    a batch together, before its texts are looked up.
+    """
 
-def _encoded(path: str, texts: list[str]) -> list:
-    """The encodings of some texts; a worker loads a tokenizer once."""
-    if path not in _loaded:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].no_truncation()
-        _loaded[path].no_padding()
-    return _loaded[path].encode_batch(texts, add_special_tokens=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.kept: dict[bytes, tuple[int, ...]] = {}
+        self.cuts = True
+        probe = "The  quick,\tbrown\r\nfox's\x0b\x0c\"7.5\" \u00e9t\u00e9\u3002 <|a|>"
+        split = self.tokenizer.pre_tokenizer
+        self.learn([probe])
+        self.cuts = (
+            split is not None
+            and self.ids(probe) == self.encode(probe).ids
+            and not any(c in p for p, _ in split.pre_tokenize_str(probe) for c in WHITE)
+        )
+        self.kept.clear()
+
+    def encode(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def pieces(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        return raw.split() if self.cuts else [raw]
+
+    def learn(self, texts: list[str]) -> None:
+        if not self.cuts:  # whole texts are not kept
+            self.kept.clear()
+        new = {p for t in texts for p in self.pieces(t)} - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_PIECES:
+            self.kept.clear()
+            new = {p for t in texts for p in self.pieces(t)}
+        ordered = list(new)
+        found = self.tokenizer.encode_batch([p.decode() for p in ordered], add_special_tokens=False)
+        self.kept.update((p, tuple(e.ids)) for p, e in zip(ordered, found))
+
+    def ids(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.kept.__getitem__, self.pieces(text))))
+
+    def length(self, text: str) -> int:
+        return sum(map(len, map(self.kept.__getitem__, self.pieces(text))))
+
+    def tokens(self, text: str, begin: int | None, end: int | None) -> tuple[list[int], int | None, int | None]:
+        """(ids, first, behind the last of the tokens that lie between two places of the text)."""
+        ids = self.ids(text)
+        if begin is None or begin >= end:
+            return ids, None, None
+        first = self._before(text, begin, begin, lambda a, b: a < begin)
+        last = self._before(text, end, end - 1, lambda a, b: b <= end)
+        return (ids, first, last) if first < last else (ids, None, None)
+
+    def _before(self, text: str, place: int, inside: int, counts) -> int:
+        """Tokens of the pieces ahead of the one that holds ``inside``, and of it those that count."""
+        start, stop = 0, len(text)
+        if self.cuts:
+            start = max(text.rfind(c, 0, inside + 1) for c in WHITE) + 1
+            if start > inside:  # white space stands there
+                return self.length(text[:place])
+            stop = min((at for c in WHITE if (at := text.find(c, inside)) >= 0), default=stop)
+        offsets = self.encode(text[start:stop]).offsets
+        return (self.length(text[:start]) if start else 0) + sum(counts(start + a, start + b) for a, b in offsets)
+
+_loaded: dict[str, Pieces] = {}
+
+
+def _pieces(path: str) -> Pieces:
+    """A worker loads a tokenizer once."""
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    return _loaded[path]
 
 
 def _with_lengths(pieces: DataFrame, path: str) -> DataFrame:
@@ -140,11 +209,14 @@ def _with_lengths(pieces: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*kept, T.StructField("length", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path)
         for batch in batches:
-            found = _encoded(path, batch.column(batch.schema.get_field_index("piece")).to_pylist())
+            texts = batch.column(batch.schema.get_field_index("piece")).to_pylist()
+            pieces.learn(texts)
+            found = [pieces.length(t) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([len(e.ids) for e in found], pa.int64())], names=schema.names
+                [*columns, pa.array(found, pa.int64())], names=schema.names
             )
 
     return map_batches(pieces, run, schema)
@@ -161,23 +233,19 @@ def _with_token_ids(segments: DataFrame, path: str) -> DataFrame:
     names = segments.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path)
         for batch in batches:
             begins, ends, texts = (
                 batch.column(names.index(c)).to_pylist() for c in ("loss_from", "loss_to", "text")
             )
-            encodings = _encoded(path, texts)
-            spans = []
-            for begin, end, e in zip(begins, ends, encodings):
-                inside = [] if begin is None else [
-                    k for k, (a, b) in enumerate(e.offsets) if a >= begin and b <= end and a < b
-                ]
-                spans.append((inside[0], inside[-1] + 1) if inside else (None, None))
+            pieces.learn(texts)
+            rows = [pieces.tokens(*row) for row in zip(texts, begins, ends)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
-                    pa.array([e.ids for e in encodings], pa.list_(pa.int32())),
-                    pa.array([a for a, _ in spans], pa.int64()),
-                    pa.array([b for _, b in spans], pa.int64()),
+                    pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int64()),
                 ],
                 names=schema.names,
             )

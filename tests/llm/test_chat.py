@@ -147,6 +147,24 @@ def test_with_a_tokenizer(spark):
     assert sum(r.length for r in segments) == len(stream)
 
 
+def test_pieces_give_what_the_tokenizer_gives():
+    import public_tokenizers
+
+    pieces = chat.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    assert pieces.cuts
+    rng = random.Random(6)
+    for _ in range(300):
+        parts = rng.choices(["Hello", "wörld", "\\", "<|im_sep|>", " ", "\n", "\t\x0b", "\u3000", "\u00a0", "x" * 90, "don't", "7.5", "[INST]", "\U0001F600"], k=rng.randint(0, 14))
+        text = "".join(parts)
+        pieces.learn([text])
+        ids, offsets = pieces.encode(text).ids, pieces.encode(text).offsets
+        begin, end = sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+        inside = [k for k, (a, b) in enumerate(offsets) if a >= begin and b <= end and a < b]
+        got = pieces.tokens(text, begin, end)
+        assert got[0] == ids and pieces.length(text) == len(ids)
+        assert got[1:] == ((inside[0], inside[-1] + 1) if inside else (None, None)), text
+
+
 def test_given_conversations(spark):
     given_rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = [tuple(r) for r in given_rows.collect()]
