@@ -46,6 +46,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -132,6 +133,8 @@ class Pieces:
     """
 
     def __init__(self, path: str):
+        # a task has one core: threads of the library's own only cost
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
