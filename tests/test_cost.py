@@ -1,11 +1,40 @@
 """Work that must be done once per row, in generated code, and not written on the way."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from catalog import queries
 from firmweave.functions import truth, variants
 from firmweave.operators import providers, validation
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("tables")
+    rows = {
+        "orders": "id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, "
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority",
+        "customer": "id AS c_custkey, concat('Customer#', id) AS c_name, 1 AS c_nationkey, 1D AS c_acctbal, 'TOYS' AS c_mktsegment",
+        "supplier": "id AS s_suppkey, concat('Supplier#', id) AS s_name",
+        "part": "id AS p_partkey, 'part' AS p_name, 'brand' AS p_brand, 'type' AS p_type, 1 AS p_size",
+        "lineitem": "id AS l_orderkey, id AS l_partkey, id AS l_suppkey",
+        "documents": "id AS doc_id, 'a\\nb' AS text",
+        "labels": "id AS doc_id, 1 AS quality, 0 AS toxic",
+        "embeddings": "id AS vec_id, array_repeat(CAST(1 AS FLOAT), 64) AS embedding, 1 AS label",
+    }
+    for name, columns in rows.items():
+        spark.sql(f"SELECT {columns} FROM range(40)").write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["f2_fill_responses"])
+def test_a_plan_that_does_not_fork_writes_nothing(spark, tables, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(queries, "materialize", lambda df, *_: written.append(df) or df)
+    assert queries.QUERIES[name](spark, tables).count() > 0
+    assert not written
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
