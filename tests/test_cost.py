@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["f2_fill_responses"])
+@pytest.mark.parametrize("name", ["f2_fill_responses", "x4_embedding_never_fails"])
 def test_a_plan_that_does_not_fork_writes_nothing(spark, tables, monkeypatch, name):
     written = []
     monkeypatch.setattr(queries, "materialize", lambda df, *_: written.append(df) or df)
