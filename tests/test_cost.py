@@ -1,5 +1,7 @@
 """Work that must be done once per row, in generated code, and not written on the way."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,37 @@ def test_only_objects_are_objects(spark):
     found = docs.select("i", variants.is_object(doc).alias("root"), variants.is_object(doc, "$.a").alias("a"))
     assert [r.i for r in found.where("root").collect()] == [0, 1]
     assert [r.i for r in found.where("a").collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["m1_priority_merge", "f4_fill_merge", "e1_complete_records"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, tables, capsys, name):
+    """The JVM interprets a method of more than 8,000 bytes for as long as it runs."""
+    df = queries.QUERIES[name](spark, tables).select("*")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_members_are_those_that_paths_name(spark):
+    texts = [
+        '{"a": 1, "b": {"c": "x"}, "l": [{"d": null}, null, 5]}', '{"a": null, "b": null, "l": {}}',
+        '{"a": {"z": 0}, "b": [], "l": []}', '[]', 'null', '"t"', '{}',
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    doc = F.parse_json("t")
+    held = variants.members(doc, "struct<a: string, b: struct<c: string>, l: array<struct<d: variant>>>")
+    rows = docs.select(
+        "i", held.isNotNull().alias("object"), held["a"].alias("a"), variants.raw_text(doc, "$.a").alias("path_a"),
+        held["b"].isNotNull().alias("b"), variants.is_object(doc, "$.b").alias("path_b"),
+        held["b"]["c"].alias("c"), variants.raw_text(doc, "$.b.c").alias("path_c"),
+        F.transform(held["l"], lambda e: e.isNotNull()).alias("l"),
+        F.transform(variants.elements(doc, "$.l"), lambda e: variants.is_object(e)).alias("path_l"),
+        F.get(held["l"], F.lit(0))["d"].isNotNull().alias("null_is_there"),
+    ).orderBy("i").collect()
+    assert [r.object for r in rows] == [True, True, True, False, False, False, True]
+    assert all((r.a, r.b, r.c, r.l) == (r.path_a, r.path_b, r.path_c, r.path_l) for r in rows)
+    assert [r.null_is_there for r in rows][:3] == [True, False, False]
